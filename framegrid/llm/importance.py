@@ -19,6 +19,8 @@ from framegrid.llm.common import cut
 BUCKETS = 10_000
 SMOOTHING = 1.0
 KEEP_SHARE = 0.75
+#: The target model is fitted on so many labelled documents at most.
+TARGET_ROWS = 20_000
 SEED = 20_240_601
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD1342543DE82EF95)
@@ -127,17 +129,19 @@ def _ordered_bits(x: Column) -> Column:
     return F.round(x * F.lit(float(1 << 40))).cast("long")
 
 
-def target_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text) of the documents that some label calls good and none toxic.
+def target_texts(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS) -> DataFrame:
+    """(text) of documents that some label calls good and none toxic.
 
-    Both sides are joined on the id; labels with a null id are left out and count once an id.
+    At most ``target_rows`` of them, those with the least hash of their id, so that their ids can be
+    broadcast and no text is shuffled. Labels with a null id are left out and count once an id.
     """
     good = (
         labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias("of"))
         .agg(F.max("quality").alias("good"), F.max(F.coalesce("toxic", F.lit(0))).alias("bad"))
         .filter("good = 1 and bad = 0").select("of")
+        .orderBy(F.xxhash64("of"), "of").limit(target_rows)
     )
-    return docs.join(good, F.col("doc_id") == F.col("of"), "left_semi").select("text")
+    return docs.join(F.broadcast(good), F.col("doc_id") == F.col("of"), "left_semi").select("text")
 
 
 def resample(docs: DataFrame, target: DataFrame, keep_share: float = KEEP_SHARE, buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:
