@@ -84,6 +84,11 @@ class Page:
     blocks: list[Block] = field(default_factory=list)
     subtrees: set[int] = field(default_factory=set)
 
+    @property
+    def live(self) -> set[int]:
+        """Those of the subtrees that hold a block; deleting any other would change nothing."""
+        return {h for b in self.blocks for h in b.paths}
+
 
 def _is_noise(tag: str, attrs: str, inside: int) -> bool:
     if tag in DROPPED:
@@ -220,18 +225,16 @@ def host_of(url_col: str = "url"):
 
 
 def _subtrees(pages: DataFrame) -> DataFrame:
-    """(page_id, host, body, subtree): ``body`` is the hash of the page's blocks."""
+    """(page_id, host, body, subtrees, live): ``body`` is the hash of the page's blocks."""
 
     def run(batches):
         for batch in batches:
             found = [parse(h) for h in batch.column(2).to_pylist()]
             bodies = [xxhash.xxh64_intdigest("\0".join(b.text for b in p.blocks)) - (1 << 63) for p in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(bodies, pa.int64()), pa.array([sorted(p.subtrees) for p in found], pa.list_(pa.int64()))],
-                ["page_id", "host", "body", "subtrees"],
-            )
+            lists = [pa.array([sorted(x) for x in own], pa.list_(pa.int64())) for own in ([p.subtrees for p in found], [p.live for p in found])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bodies, pa.int64()), *lists], ["page_id", "host", "body", "subtrees", "live"])
 
-    return pages.select("page_id", "host", "html").mapInArrow(run, "page_id long, host string, body long, subtrees array<long>")
+    return pages.select("page_id", "host", "html").mapInArrow(run, "page_id long, host string, body long, subtrees array<long>, live array<long>")
 
 
 def templates(subtrees: DataFrame, min_pages: int = MIN_PAGES, inner_share: float = INNER_SHARE) -> DataFrame:
@@ -246,6 +249,9 @@ def templates(subtrees: DataFrame, min_pages: int = MIN_PAGES, inner_share: floa
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, inner_share: float = INNER_SHARE) -> DataFrame:
     """(page_id, url, text, n_removed, n_blocks): the main text of each row of ``pages``.
 
+    ``n_removed`` counts the template subtrees deleted from what roles had kept. Only those are joined to
+    the pages again, so the blocks are shuffled only where a site keeps its template outside such roles.
+
     Blocks are joined in page order by one space; the text is empty if none is left, also for a null or
     empty html. A null url counts as a host of its own kind, an empty name. Copies of a page count once
     for the template. Rows with equal page_id lose what any of them loses; further columns are not read.
@@ -258,7 +264,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, inner_share: float = I
     subtrees = spark.read.parquet(path)
     found = templates(subtrees, min_pages, inner_share)
     removed = (
-        subtrees.select("page_id", "host", F.explode("subtrees").alias("subtree"))
+        subtrees.select("page_id", "host", F.explode("live").alias("subtree"))
         .join(found, ["host", "subtree"])
         .groupBy(F.col("page_id").alias("of")).agg(F.collect_set("subtree").alias("removed"))
     )
