@@ -160,12 +160,15 @@ def _gain(p: np.ndarray, n: np.ndarray, p0: int, n0: int) -> np.ndarray:
         return np.where(p > 0, p * (np.log2(p / np.maximum(p + n, 1)) - math.log2(p0 / (p0 + n0))), -np.inf)
 
 
-def _grow(x: dict[str, np.ndarray], bad: np.ndarray) -> list[Condition]:
+def _grow(x: dict[str, np.ndarray], bad: np.ndarray, first: frozenset[str]) -> list[Condition]:
+    """Conditions added by the greatest gain until no clean row is left; the first tests one of ``first``."""
     live, out = np.ones(len(bad), bool), []
     while len(out) < MAX_CONDITIONS and (live & ~bad).any():
         p0, n0 = int((live & bad).sum()), int((live & ~bad).sum())
         best: tuple[float, Condition] | None = None
         for name, values in x.items():
+            if not out and name not in first:
+                continue
             own, is_bad = values[live], bad[live]
             marks = np.unique(np.quantile(own, np.linspace(0, 1, THRESHOLDS)))
             marks = (marks[1:] + marks[:-1]) / 2
@@ -200,11 +203,12 @@ def _prune(conditions: list[Condition], x: dict[str, np.ndarray], bad: np.ndarra
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, turn: np.ndarray) -> DecisionList:
     """Rules for the rows marked ``bad``; ``turn`` tells the rows that rules are pruned on."""
     rules: list[Rule] = []
-    left = np.ones(len(bad), bool)
-    while len(rules) < MAX_RULES and (left & bad & ~turn).any() and (left & ~bad & ~turn).any():
+    left, first = np.ones(len(bad), bool), frozenset(x)
+    while len(rules) < MAX_RULES and first and (left & bad & ~turn).any() and (left & ~bad & ~turn).any():
         of = lambda m: {k: v[m] for k, v in x.items()}
         grow, check = left & ~turn, left & turn
-        conditions = _prune(_grow(of(grow), bad[grow]), of(check), bad[check])
+        grown = _grow(of(grow), bad[grow], first)
+        conditions = _prune(grown, of(check), bad[check])
         if not conditions:
             break
         rule = Rule(tuple(conditions), 0, 0)
@@ -213,9 +217,11 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, turn: np.ndarray) -> Decisi
         everywhere = rule.holds(x)
         wrong = int((everywhere & ~bad).sum())
         if p < MIN_COVER or p < MIN_PRECISION * (p + n) or int((everywhere & bad).sum()) < MIN_PRECISION * int(everywhere.sum()):
-            break
+            # not precise where it was not grown: begin with another feature
+            first -= {c.feature for c in grown[:1]} or first
+            continue
         rules.append(Rule(tuple(conditions), int((hit & bad).sum()), wrong))
-        left &= ~hit
+        left, first = left & ~hit, frozenset(x)
     return DecisionList(tuple(rules))
 
 

@@ -1,0 +1,52 @@
+"""The registered queries on the smallest tables, and the pipeline's stages on a table of their own."""
+
+import re
+
+import pytest
+
+import corpus_pipeline
+from framegrid.llm import queries
+
+duckdb = pytest.importorskip("duckdb")
+QUERIES, ORACLE = queries.queries(), queries.oracle_sql()
+
+
+def test_one_query_for_each_operator():
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, sf_dir, name):
+    rows = QUERIES[name](spark, sf_dir).toPandas()
+    table = "pages" if name in ("op1_warc", "op3_html") else "documents"
+    n = spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
+    if name not in ("op2_decontamination", "op5_packing"):
+        assert len(rows) == n
+    if name in ORACLE:
+        con = duckdb.connect()
+        for t in ("documents", "pages", "labels", "benchmark"):
+            con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+        want = con.sql(ORACLE[name]).df()
+        assert sorted(want) == sorted(rows)
+        key = [want.columns[0]]
+        a, b = rows[list(want)].sort_values(key).reset_index(drop=True), want.sort_values(key).reset_index(drop=True)
+        for c in want:
+            x, y = a[c].astype(object).where(a[c].notna(), None), b[c].astype(object).where(b[c].notna(), None)
+            assert x.tolist() == y.tolist(), c
+
+
+def test_stages_keep_columns_and_apply_their_decisions(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, ids = docs.columns, {r["doc_id"] for r in docs.select("doc_id").collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == columns, name
+        kept = {r["doc_id"] for r in out.select("doc_id").collect()}
+        assert kept <= ids
+        ids, docs = kept, out
+    packed = corpus_pipeline.run(spark, sf_dir)
+    assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == ids
+    from framegrid.llm import decontam, simhash
+
+    assert decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).count() == 0
+    assert simhash.near_duplicates(docs).filter("id <> component_id").count() == 0
