@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from framegrid.llm.common import cut
 
 BUCKETS = 10_000
-SMOOTHING = 1.0
+PRIOR = 1_000.0
 KEEP_SHARE = 0.75
 #: The target model is fitted on so many labelled documents at most.
 TARGET_ROWS = 20_000
@@ -84,10 +84,14 @@ def ngram_counts(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     return out
 
 
-def log_ratio(target: np.ndarray, raw: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
-    """log p_target - log p_raw of each bucket, with additive smoothing."""
-    p, q = target + smoothing, raw + smoothing
-    return np.log(p / p.sum()) - np.log(q / q.sum())
+def log_ratio(target: np.ndarray, raw: np.ndarray, prior: float = PRIOR) -> np.ndarray:
+    """log p_target - log p_raw of each bucket.
+
+    The raw model has one count more in each bucket; the target model has ``prior`` counts spread as the
+    raw model is, so that an n-gram the few target texts lack tells little.
+    """
+    q = (raw + 1) / (raw.sum() + len(raw))
+    return np.log((target + prior * q) / (target.sum() + prior)) - np.log(q)
 
 
 def gumbel(id_col: str, seed: int = SEED) -> Column:
