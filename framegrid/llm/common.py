@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows in an Arrow batch, where the session has Spark's own default of 10,000.
+BATCH_ROWS = 500
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: Any) -> DataFrame:
+    """``mapInArrow`` in batches fit for whole documents.
+
+    A batch is held several times on its way through the JVM and Python, and documents are long, so the
+    session's rows in a batch are lowered from the default; a session's own choice is left alone.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(fn, schema)
+
+
 def map_rows(
     df: DataFrame,
     fn: Callable[..., tuple | None],
@@ -57,51 +74,7 @@ def map_rows(
                 [pa.array([r[i] for r in rows], t.type) for i, t in enumerate(arrow)], schema=arrow
             )
 
-    return df.mapInArrow(run, out)
-
-
-def flat_map_rows(
-    df: DataFrame,
-    fn: Callable[..., Iterable[tuple]],
-    schema: str,
-    setup: Callable[[], tuple] | None = None,
-    rows_per_batch: int = 20_000,
-) -> DataFrame:
-    """As :func:`map_rows`, but ``fn`` yields any number of rows for each input row."""
-    out = df.sparkSession.createDataFrame([], schema).schema
-    arrow = pa.schema([(f.name, _arrow(f.dataType.simpleString())) for f in out])
-
-    def pack(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[i] for r in rows], t.type) for i, t in enumerate(arrow)], schema=arrow
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        first = setup() if setup else ()
-        rows: list[tuple] = []
-        for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            for x in zip(*cols, strict=True):
-                rows.extend(fn(*first, *x))
-                if len(rows) >= rows_per_batch:
-                    yield pack(rows)
-                    rows = []
-        yield pack(rows)
-
-    return df.mapInArrow(run, out)
-
-
-def keep_rows(df: DataFrame, column: str, test: Callable[..., bool], setup: Callable[[], tuple] | None = None) -> DataFrame:
-    """Rows whose ``column`` passes ``test``, with all their columns and without a shuffle."""
-    at = df.columns.index(column)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        first = setup() if setup else ()
-        for batch in batches:
-            mask = [test(*first, x) for x in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(mask, pa.bool_()))
-
-    return df.mapInArrow(run, df.schema)
+    return map_batches(df, run, out)
 
 
 _TYPES = {

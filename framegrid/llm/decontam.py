@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framegrid.llm.common import utf8
+from framegrid.llm.common import map_batches, utf8
 
 #: Words that a mask of ``1`` selects are hashed, those of ``0`` are ignored.
 MASKS = ("111111", "11011011", "1010110101", "11001010011")
@@ -208,7 +208,7 @@ def contamination(
                 cols = [pa.array([r[c] for r in rows], pa.int64()) for c in range(6)]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-        part = texts.mapInArrow(search, schema)
+        part = map_batches(texts, search, schema)
         out = part if out is None else out.union(part)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -232,5 +232,5 @@ def drop_contaminated(
                     keep += [not x for x in overlaps(shared.value, chunk, min_words, identity)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = map_batches(docs, clean, docs.schema)
     return docs

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framegrid.llm.common import shared_dir
+from framegrid.llm.common import map_batches, shared_dir
 
 #: A subtree outside the article goes when it recurs on so many distinct pages of its host.
 MIN_PAGES = 5
@@ -234,7 +234,7 @@ def _subtrees(pages: DataFrame) -> DataFrame:
             lists = [pa.array([sorted(x) for x in own], pa.list_(pa.int64())) for own in ([p.subtrees for p in found], [p.live for p in found])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bodies, pa.int64()), *lists], ["page_id", "host", "body", "subtrees", "live"])
 
-    return pages.select("page_id", "host", "html").mapInArrow(run, "page_id long, host string, body long, subtrees array<long>, live array<long>")
+    return map_batches(pages.select("page_id", "host", "html"), run, "page_id long, host string, body long, subtrees array<long>, live array<long>")
 
 
 def templates(subtrees: DataFrame, min_pages: int = MIN_PAGES, inner_share: float = INNER_SHARE) -> DataFrame:
@@ -277,7 +277,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, inner_share: float = I
             blocks = [[{"text": b.text, "paths": b.paths} for b in parse(h).blocks] for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blocks, kind)], ["page_id", "url", "blocks"])
 
-    parsed = rows.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, blocks array<struct<text:string,paths:array<long>>>")
+    parsed = map_batches(rows.select("page_id", "url", "html"), run, "page_id long, url string, blocks array<struct<text:string,paths:array<long>>>")
     joined = parsed.join(removed, parsed.page_id.eqNullSafe(removed.of), "left")
     left = F.when(F.col("removed").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.arrays_overlap(b["paths"], F.col("removed"))))
     return joined.select(

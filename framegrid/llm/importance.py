@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framegrid.llm.common import cut
+from framegrid.llm.common import cut, map_batches
 
 BUCKETS = 10_000
 PRIOR = 1_000.0
@@ -79,7 +79,7 @@ def ngram_counts(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
     out = np.zeros(buckets, np.int64)
-    for r in texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in map_batches(texts, run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r["bucket"]] = r["n"]
     return out
 
@@ -171,7 +171,7 @@ def resample(docs: DataFrame, target: DataFrame, keep_share: float = KEEP_SHARE,
                 weight.append(float(ratio.value[at].sum()) / len(at) ** 0.5 if len(at) else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(weight, pa.float64())], ["doc_id", "n_grams", "log_weight"])
 
-    scored = texts.mapInArrow(run, "doc_id long, n_grams long, log_weight double")
+    scored = map_batches(texts, run, "doc_id long, n_grams long, log_weight double")
     keyed = cut(scored.withColumn("gumbel_key", F.col("log_weight") + gumbel("doc_id", seed)))
     total = keyed.count()
     return top(keyed, -(-int(total * keep_share * 1_000_000) // 1_000_000))

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framegrid.llm.common import map_batches
+
 BUCKETS = 1 << 15
 #: About so many labelled documents of each language, those with the least hash of their id, are learned from.
 SAMPLE_PER_LANG = 600
@@ -154,7 +156,7 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
                 ["id", "lang", "at", "counts"],
             )
 
-    rows = chosen.mapInArrow(counted, "id long, lang string, at binary, counts binary").collect()
+    rows = map_batches(chosen, counted, "id long, lang string, at binary, counts binary").collect()
     return train(
         [
             (i, lang, at, counts)
@@ -182,7 +184,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     thin = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text")
-    return thin.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_batches(thin, run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep(docs: DataFrame, model: Model, min_score: float = MIN_SCORE, accept: Callable[[str], bool] | None = None) -> DataFrame:
@@ -195,4 +197,4 @@ def keep(docs: DataFrame, model: Model, min_score: float = MIN_SCORE, accept: Ca
             mask = [lang != UNKNOWN and score >= min_score and (accept is None or accept(lang)) for lang, score in found]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

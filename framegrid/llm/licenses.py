@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framegrid.llm.common import utf8
+from framegrid.llm.common import map_batches, utf8
 
 #: Phrases whose words must stand consecutively and unchanged, and their labels (fixed values).
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -154,7 +154,7 @@ def scan(docs: DataFrame, of: list[Pattern] | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array(rows, pa.list_(kind))], ["doc_id", "n_words", "hits"])
 
     schema = "doc_id long, n_words long, hits array<struct<label:string,first_word:long,last_word:long,edits:long,score:double,base:boolean>>"
-    return docs.select(F.col("doc_id").cast("long"), utf8("text")).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), utf8("text")), run, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -25,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framegrid.llm.common import map_batches
+
 CAPACITY = 2048
 END_ID = 1
 SENTENCE_PENALTY = 2
@@ -224,4 +226,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, blo
         yield made(packer.flush())
 
     schema = ", ".join(f"{x} long" for x in names)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framegrid.llm.common import map_batches
+
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_digits")
 PREFIX = "framegrid_stat_"
 #: At most so many labelled documents, those with the least hash of their id, are learned from.
@@ -88,7 +90,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
             cols = np.array(rows, np.int64).reshape(len(rows), len(STATS)).T
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, cols)], names=[*batch.schema.names, *(PREFIX + s for s in STATS)])
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def features() -> dict[str, Column]:

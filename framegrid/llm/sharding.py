@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framegrid.llm.common import cut
+from framegrid.llm.common import cut, map_batches
 
 _MULTIPLIER = np.uint64(2862933555777941757)
 
@@ -70,7 +70,7 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
             cols = [pa.array(own.astype(np.int32)), pa.array(grown.astype(np.int32)), pa.array(np.full(len(own), part, np.int32)), pa.array(rank)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], ["doc_id", "size", "text_crc32", "shard", "grown_shard", "part", "rank"])
 
-    ranked = cut(dealt.mapInArrow(number, schema))
+    ranked = cut(map_batches(dealt, number, schema))
     before = (
         ranked.groupBy("shard", "part")
         .agg(F.count("*").alias("n"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framegrid.llm.common import cut, map_rows, utf8
+from framegrid.llm.common import cut, map_batches, map_rows, utf8
 
 RADIUS = 3
 BITS = 64
@@ -135,7 +135,7 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
             .agg(F.collect_set("fp").alias("fps"))
             .select(F.array_sort("fps").alias("fps"))
         )
-        found.append(groups.mapInArrow(_bucket_links, "u long, v long"))
+        found.append(map_batches(groups, _bucket_links, "u long, v long"))
         if level == 2 or large.isEmpty():
             break
         rows = _split(rows.join(large, ["t", "key"]), level)

@@ -25,6 +25,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framegrid.llm.common import map_batches
+
 #: Fixed values of the format.
 DICTIONARY_MAGIC = 0x184D2A5D
 EMPTY_FRAME = "P*M\x18\x00\x00\x00\x00"
@@ -156,7 +158,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYT
     a payload each is a response; rows with a null id refer to a payload's least id if there is one.
     One archive is written for each task; an empty table gives no record. Further columns are not read.
     """
-    frames = with_references(pages, min_bytes).mapInArrow(_frames(training_bytes), "value binary")
+    frames = map_batches(with_references(pages, min_bytes), _frames(training_bytes), "value binary")
     frames.select(F.col("value").cast("string").alias("value")).write.mode("overwrite").option("lineSep", EMPTY_FRAME).option("compression", "none").text(path)
 
 
@@ -192,4 +194,4 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 yield made(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+    return map_batches(files, run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")

@@ -50,3 +50,19 @@ def test_stages_keep_columns_and_apply_their_decisions(spark, sf_dir):
 
     assert decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).count() == 0
     assert simhash.near_duplicates(docs).filter("id <> component_id").count() == 0
+
+
+def test_a_sessions_own_batch_size_is_left_alone(spark):
+    from framegrid.llm.common import map_batches
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "123")
+        map_batches(spark.range(3), lambda it: it, "id long").collect()
+        assert spark.conf.get(key) == "123"
+        spark.conf.set(key, "10000")
+        map_batches(spark.range(3), lambda it: it, "id long").collect()
+        assert spark.conf.get(key) == "500"
+    finally:
+        spark.conf.set(key, before)
