@@ -177,12 +177,13 @@ def PositionFieldTransform(grid: Grid, values: Any, *, target: Endpoint, exterio
 
 
 def field_map(points: DataFrame, nodes: DataFrame, grid: Grid, *, keys: Sequence[str], components: Sequence[str], kind: str = DISPLACEMENT,
-              exterior: str = "raise", closed: bool = False, target_axes: Sequence[str] | None = None, broadcast_nodes: int = 500_000) -> DataFrame:
+              exterior: str = "raise", closed: bool = False, target_axes: Sequence[str] | None = None, array_nodes: int = 100_000, broadcast_nodes: int = 500_000) -> DataFrame:
     """Map a table of points through a field whose nodes are a table (pos_*, components).
 
-    ``keys`` tell the rows of ``points`` apart. The result has keys, the target axes and ``inside``. The
-    nodes are broadcast up to ``broadcast_nodes`` rows, which the grid states; beyond that the join
-    shuffles on the node position.
+    ``keys`` tell the rows of ``points`` apart. The result has keys, the target axes and ``inside``. What
+    is done follows from the number of nodes, which the grid states: up to ``array_nodes`` they become one
+    row of arrays that is broadcast, and a point's nodes are picked by index, without a shuffle; up to
+    ``broadcast_nodes`` the nodes are broadcast to a join; beyond that the join shuffles on node positions.
     """
     to_index, dims = _index_map(grid), grid.dims
     source = [F.col(a).cast("double") for a in grid.frame.axes]
@@ -212,6 +213,9 @@ def field_map(points: DataFrame, nodes: DataFrame, grid: Grid, *, keys: Sequence
                 w, i = w * (f if t else F.lit(1.0) - f), F.least(i + F.lit(float(t)), F.lit(float(n - 1)))
             at.append(i.cast("long").alias(f"i_{d}"))
         taps.append(F.struct(w.alias("w"), *at))
+    names = target_axes or grid.frame.axes
+    if grid.count() <= array_nodes:
+        return _picked(frame, nodes, grid, taps, keys, components, kind, exterior, names)
     wide = frame.withColumn("tap", F.explode(F.filter(F.array(*taps), lambda t: t["w"] != 0)))
     wide = wide.select(*frame.columns, "tap.w", *[f"tap.i_{d}" for d in dims])
     right = nodes.select(*[F.col(pos(d)).alias(f"i_{d}") for d in dims], *[F.col(c).cast("double").alias(f"node_{k}") for k, c in enumerate(components)])
@@ -219,7 +223,6 @@ def field_map(points: DataFrame, nodes: DataFrame, grid: Grid, *, keys: Sequence
     sums = [F.sum(F.col("w") * F.col(f"node_{k}")).alias(f"u_{k}") for k in range(len(components))]
     places = [F.first(a).cast("double").alias(f"x_{k}") for k, a in enumerate(grid.frame.axes)]
     out = joined.groupBy(*keys).agg(*sums, *places, F.first("inside").alias("inside"))
-    names = target_axes or grid.frame.axes
     made = []
     for k, a in enumerate(names):
         value = F.col(f"u_{k}") if kind == POSITION else F.col(f"x_{k}") + F.col(f"u_{k}")
@@ -229,6 +232,45 @@ def field_map(points: DataFrame, nodes: DataFrame, grid: Grid, *, keys: Sequence
     return out.select(*keys, *made, "inside")
 
 
+def _picked(frame: DataFrame, nodes: DataFrame, grid: Grid, taps: list[Column], keys: Sequence[str], components: Sequence[str], kind: str, exterior: str, names: Sequence[str]) -> DataFrame:
+    """``field_map`` with the nodes in one broadcast row: an array of each component in grid order."""
+    number: Column = F.lit(0).cast("long")
+    for d in grid.dims:
+        number = number * grid.sizes[d] + F.col(pos(d))
+    own = nodes.select(number.alias("n"), *[F.col(c).cast("double").alias(f"node_{k}") for k, c in enumerate(components)])
+    rows = F.array_sort(F.collect_list(F.struct("n", *[f"node_{k}" for k in range(len(components))])))
+    table = own.agg(rows.alias("rows"))
+    sound = (F.size("rows") == grid.count()) & (F.element_at("rows", -1)["n"] == grid.count() - 1)
+    whole = F.when(sound, F.col("rows")).otherwise(F.raise_error(F.lit("the field lacks nodes")).cast(table.schema["rows"].dataType))
+    table = table.select(*[_component(whole, k).alias(f"nodes_{k}") for k in range(len(components))])
+    placed = frame.withColumn("taps", F.array(*taps)).crossJoin(F.broadcast(table))
+    made = []
+    for k, a in enumerate(names):
+        total = F.aggregate("taps", F.lit(0.0), _added(grid, f"nodes_{k}"))
+        x = F.col(grid.frame.axes[k]).cast("double") if k < len(grid.frame.axes) else F.lit(0.0)
+        value = total if kind == POSITION else x + total
+        if exterior == "identity":
+            value = F.when(F.col("inside"), value).otherwise(x)
+        made.append(checked(value, "a field result").alias(a))
+    return placed.select(*keys, *made, "inside")
+
+
+def _component(rows: Column, k: int) -> Column:
+    return F.transform(rows, lambda r: r[f"node_{k}"])
+
+
+def _added(grid: Grid, column: str):
+    """One more tap: its weight times the node at its index."""
+
+    def step(total: Column, tap: Column) -> Column:
+        number: Column = F.lit(0).cast("long")
+        for d in grid.dims:
+            number = number * grid.sizes[d] + tap[f"i_{d}"]
+        return total + tap["w"] * F.element_at(F.col(column), (number + 1).cast("int"))
+
+    return step
+
+
 def sample_displacement_field(transform: Any, grid: Grid, *, exterior: str = "raise") -> FieldTransform:
     """The displacements of any map at a grid's samples, as a field."""
     if len(transform.target.axes) != len(grid.frame.axes):

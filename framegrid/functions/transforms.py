@@ -73,9 +73,10 @@ def equilibrated_inverse(matrix: Any) -> np.ndarray:
     m = np.asarray(matrix, float)
     if m.ndim != 2 or m.shape[0] != m.shape[1]:
         raise ValueError("only a square matrix has an inverse")
-    rows = np.linalg.norm(m / max(np.abs(m).max(), 1e-300), axis=1) * max(np.abs(m).max(), 1e-300)
-    if not rows.all():
+    peak = np.abs(m).max(axis=1, initial=0)
+    if not peak.all():
         raise ValueError("matrix has a zero row")
+    rows = np.linalg.norm(m / peak[:, None], axis=1) * peak
     scaled = m / rows[:, None]
     cols = np.linalg.norm(scaled, axis=0)
     if not cols.all():

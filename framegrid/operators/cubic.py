@@ -18,17 +18,18 @@ POLE = np.sqrt(3.0) - 2.0
 
 
 def prefilter(line: np.ndarray) -> np.ndarray:
-    """B-spline coefficients of one line that is continued by its edge values.
+    """B-spline coefficients of one line that is mirrored at its edges, the edge sample repeated.
 
-    The recursion runs on the line with 24 repeats of each edge value, beyond which the pole's influence
-    is below rounding, so the start of the recursion does not matter inside.
+    So the coefficient before the first equals the first, and a tap beyond an edge takes the edge's. The
+    recursion runs on the line with 24 mirrored values at each end, beyond which the pole's influence is
+    below rounding, so its start does not matter inside.
     """
     if not np.isfinite(line).all():
         raise ValueError("cubic resampling cannot read a missing value")
     if len(line) < 2:
         return line
     halo = 24
-    c = np.concatenate((np.full(halo, line[0]), line, np.full(halo, line[-1]))) * ((1 - POLE) * (1 - 1 / POLE))
+    c = np.pad(line.astype(float), halo, mode="symmetric") * ((1 - POLE) * (1 - 1 / POLE))
     c[0] /= 1 - POLE
     for k in range(1, len(c)):
         c[k] += POLE * c[k - 1]

@@ -17,11 +17,13 @@ from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framegrid.functions.transforms import AffineTransform, columns_of, compose, coordinate_system_change, identity
+from framegrid.operators import tiles
+from framegrid.operators.boxes import box_resample
+from framegrid.operators.cubic import cubic_gather, filtered
 from framegrid.plans.declare import ROUNDING_ALLOWANCE, ArrayCoordinates, ReferenceFrame
 from framegrid.plans.grid import Grid, pos
 from framegrid.plans.periodic import Poles, longitude_of, poles_of
@@ -221,8 +223,6 @@ def resample(
     plan = locate(source, target, transform)
     kinds = {f.name: f.dataType.simpleString() for f in values.schema.fields}
     if method in (STEP, OVERLAP_MEAN):
-        from framegrid.operators.boxes import box_resample
-
         return box_resample(
             plan, values, value_columns, carried, method=method, support=support, fill_value=fill_value, domain=domain,
             min_coverage=min_coverage, return_coverage=return_coverage,
@@ -231,6 +231,11 @@ def resample(
         raise ValueError("coverage and average support belong to the box methods")
     margin = 24 if method == CUBIC else 1
     values = cropped(values.select(*[pos(d) for d in source.dims], *carried, *value_columns), reach(plan, margin))
+    if tiles.fits(plan, method) and missing_rows == "nan" and not (method == CUBIC and any(n < 2 for n in source.sizes.values())):
+        coefficients = filtered(values, source.dims, carried, value_columns) if method == CUBIC else values
+        out = tiles.tile_gather(plan, coefficients, value_columns, carried, method=method, fill_value=float(fill_value), domain=domain)
+        made = [_typed(F.col(v), kinds[v], method, fill_value).alias(v) for v in value_columns]
+        return out.select(*[pos(d) for d in target.dims], *carried, *made)
     frame = target.to_df(values.sparkSession, coordinates=False)
     positions, inside = position_columns(plan, domain)
     frame = frame.withColumns({**{f"p_{d}": F.when(inside, c) for d, c in positions.items()}})
@@ -242,25 +247,26 @@ def resample(
     elif method == LINEAR:
         out = _linear(plan, frame, values, value_columns, carried)
     else:
-        from framegrid.operators.cubic import cubic_gather
-
         out = cubic_gather(plan, frame, values, value_columns, carried)
-    keys = [pos(d) for d in target.dims]
     first = F.lit(True)
     for d in source.dims:
         first = first & F.col(f"p_{d}").isNotNull()
     result = []
     for v in value_columns:
-        whole = kinds[v] in ("tinyint", "smallint", "int", "bigint", "boolean")
-        keep = method == NEAREST and whole and not _is_nan(fill_value) and float(fill_value).is_integer()
-        kind = kinds[v] if keep else "float" if kinds[v] == "float" else "double"
-        fill = F.lit(fill_value).cast(kind)
-        empty = F.lit(NAN).cast(kind) if kind in ("float", "double") else fill
-        value = F.coalesce(F.col(v).cast(kind), empty)
+        value = F.col(v)
         if missing_rows == "raise":
-            value = F.coalesce(F.col(v).cast(kind), F.raise_error(F.lit("a needed source sample has no row")).cast(kind))
-        result.append(F.when(first, value).otherwise(fill).alias(v))
-    return out.select(*keys, *carried, *result)
+            value = F.coalesce(value, F.raise_error(F.lit("a needed source sample has no row")).cast(kinds[v]))
+        result.append(F.when(first, _typed(value, kinds[v], method, fill_value)).otherwise(_typed(F.lit(fill_value), kinds[v], method, fill_value)).alias(v))
+    return out.select(*[pos(d) for d in target.dims], *carried, *result)
+
+
+def _typed(value: Column, kind: str, method: str, fill_value: float) -> Column:
+    """The result's type: whole numbers stay under nearest if the fill is one, floats stay, the rest is double."""
+    whole = kind in ("tinyint", "smallint", "int", "bigint", "boolean")
+    if method == NEAREST and whole and not _is_nan(fill_value) and float(fill_value).is_integer():
+        return F.coalesce(F.when(~F.isnan(value.cast("double")), value.cast(kind)), F.lit(fill_value).cast(kind))
+    kind = "float" if kind == "float" else "double"
+    return F.coalesce(value.cast(kind), F.lit(NAN).cast(kind))
 
 
 def _is_nan(x: Any) -> bool:
@@ -337,16 +343,3 @@ def _corner(plan: Located, dims: Sequence[str], bits: Sequence[int]) -> list[Col
         weight = weight * (f if b else F.lit(1.0) - f)
         at[d] = (low + b).cast("long")
     return [weight.alias("w"), *[c.alias(f"i_{d}") for d, c in source_indices(plan, at).items()]]
-
-
-def per_line(values: DataFrame, dim: str, others: Sequence[str], value_columns: Sequence[str], fn, n: int) -> DataFrame:
-    """Apply a NumPy function to whole lines along ``dim``; a line is one axis long and fits one task."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos(dim))
-        for v in value_columns:
-            pdf[v] = fn(pdf[v].to_numpy(float))
-        return pdf
-
-    kept = values.select(*[F.col(c).cast("double").alias(c) if c in value_columns else F.col(c) for c in values.columns])
-    return kept.groupBy(*others).applyInPandas(run, kept.schema)

@@ -195,6 +195,8 @@ class Axis:
     def index_column(self, index: Column) -> Column:
         """The coordinate of a whole position."""
         v = self.flat
+        if not self.size:
+            return F.lit(None).cast("double")
         if (step := uniform_step(v, 0.0)) is not None:
             return F.lit(float(v[0])) + index.cast("double") * F.lit(step)
         return F.element_at(self.literal(), index.cast("int") + 1) if self.size > 1 else F.lit(float(v[0]))
