@@ -179,12 +179,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     to its root. Each round's links go to the shared folder, so neither lineage nor driver memory grows.
     """
     edges, before = cut(edges.select("u", "v").filter("u != v")), None
+    # The least neighbours are written before they are joined: then both sides of the join have an
+    # exchange of their own and AQE may split the links of a node that has very many.
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(large.filter("u != v").distinct())
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = cut(small.filter("u != v").distinct())
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
@@ -210,8 +212,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = cut(fingerprints(docs, id_col, text_col))
     distinct = cut(fps.groupBy("fp").agg(F.min("id").alias("least")))
     roots = cut(components(links(distinct.select("fp"))))
-    joined = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    joined = cut(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
+    ids = cut(joined.groupBy("root").agg(F.min("least").alias("component_id")))
     by_fp = cut(joined.select("fp", "root").join(ids, "root").select("fp", "component_id"))
     return fps.join(by_fp, "fp").select("id", "fp", "component_id")
 
