@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framegrid.llm.common import map_batches
+from framegrid.llm.common import cut, map_batches
 
 #: Fixed values of the format.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -147,6 +147,9 @@ def with_references(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> Dat
         .groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
         .filter("n > 1").select("digest", "first")
     )
+    # Written before it is joined: both sides then have an exchange of their own, and AQE may split a
+    # digest that very many pages share.
+    copies = cut(copies)
     refers = F.when(F.col("page_id").isNull() | (F.col("first") != F.col("page_id")), F.col("first"))
     return rows.join(copies, "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
