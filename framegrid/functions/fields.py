@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framegrid.functions.transforms import AffineTransform, checked
 from framegrid.operators.cubic import basis
@@ -130,6 +132,22 @@ class FieldTransform:
             out = out + w[..., None] * self.values[tuple(i + t for i, t in zip(first, taps, strict=True))].astype(float)
         return out
 
+    def masked_columns(self, cols: Sequence[Column]) -> tuple[list[Column], Column]:
+        """Target coordinates and whether the point is supported; an unsupported point is returned unchanged."""
+        n, field = len(self.target.axes), replace(self, exterior="identity") if self.exterior == "raise" else self
+        schema = T.StructType([*[T.StructField(f"c{k}", T.DoubleType()) for k in range(n)], T.StructField("inside", T.BooleanType())])
+
+        @F.pandas_udf(schema)
+        def mapped(*parts: pd.Series) -> pd.DataFrame:
+            x = np.stack([p.to_numpy(float) for p in parts], axis=-1)
+            out = pd.DataFrame(field.transform_point(x), columns=[f"c{k}" for k in range(n)])
+            out["inside"] = field._located(x)[2]
+            return out
+
+        result = mapped(*[c.cast("double") for c in cols])
+        inside = result["inside"] if self.exterior == "raise" else F.lit(True)
+        return [result[f"c{k}"] for k in range(n)], inside
+
     def transform_point(self, points: Any) -> np.ndarray:
         x, p, inside = self._located(points)
         value = self._sum(p)

@@ -206,6 +206,20 @@ def columns_of(transform: Any, cols: Sequence[Column]) -> list[Column]:
     return [result[f"c{k}"] for k in range(n)]
 
 
+def masked_columns_of(transform: Any, cols: Sequence[Column]) -> tuple[list[Column], Column]:
+    """As ``columns_of``, with a column that tells where the map holds: a field that raises outside its
+    support is not asked there, and neither is any member behind it."""
+    members = transform.transforms if isinstance(transform, CompositeTransform) else (transform,)
+    cols, valid = list(cols), F.lit(True)
+    for t in members:
+        if hasattr(t, "masked_columns"):
+            cols, inside = t.masked_columns(cols)
+            valid = valid & inside
+        else:
+            cols = columns_of(t, cols)
+    return cols, valid
+
+
 def jacobian_columns_of(transform: Any, cols: Sequence[Column]) -> list[list[Column]]:
     """Rows of the Jacobian as columns; a map without the column form is called in Arrow batches."""
     if hasattr(transform, "jacobian_columns"):

@@ -71,8 +71,11 @@ class TensorDF:
         df = self.framed.df.withColumn(d.column, packing.pack(F.col(d.column), check=check))
         return TensorDF(replace(self.framed, df=df), replace(d, packing=packing))
 
-    def change_basis(self, basis: ReferenceFrame | EastNorthUp, *, units: str | None = None) -> TensorDF:
-        """Components in another system of the same space, or along east, north and up at each sample.
+    def change_basis(self, basis: ReferenceFrame | EastNorthUp | Any, *, units: str | None = None) -> TensorDF:
+        """Components in another system of the same space, or in a basis that varies by sample.
+
+        Such a basis is east, north, up, or any object with ``base`` (a frame), ``matrix`` and
+        ``inverse_matrix``, which take the coordinate columns and return rows of columns.
 
         ``units`` is needed exactly when the change alters the axes' units, as components then change theirs.
         """
@@ -86,7 +89,7 @@ class TensorDF:
                 raise ValueError("units= is given exactly when the basis changes units")
             matrix = coordinate_system_change(old, new).matrix.tolist()
         else:
-            field = new if isinstance(new, EastNorthUp) else old
+            field = old if isinstance(new, ReferenceFrame) else new
             grid = self.framed.grid
             if not grid.frame.is_equivalent_frame(field.base):
                 raise ValueError("the basis field belongs to another space")

@@ -130,6 +130,12 @@ def axis_statistics(df: DataFrame, coordinate: str) -> DataFrame:
     )
 
 
+def first_failure(df: DataFrame, failed: Column, dims: Sequence[str]) -> DataFrame:
+    """One row: how many rows fail, and the position of the first in the order of the dimensions (null if none)."""
+    place = F.struct(*[F.col(pos(d)) for d in dims])
+    return df.agg(F.count_if(failed).alias("n"), F.min(F.when(failed, place)).alias("first"))
+
+
 def coincidence(a: DataFrame, b: DataFrame, grid: Grid) -> DataFrame:
     """One row: the greatest distance between two point tables of one grid's positions."""
     keys, axes = [pos(d) for d in grid.dims], grid.frame.axes

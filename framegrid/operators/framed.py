@@ -119,6 +119,11 @@ class FramedDF:
             keys[axis.dim] = axis.label_indices(label, method)
         return self._with(df, carried=carried).isel(drop=drop, **keys)
 
+    def nearest_to(self, point: Mapping[str, float]) -> FramedDF:
+        """The sample nearest in position to a point of the frame, given by axis name; outside raises."""
+        at = self.grid.positions_at([[point[a] for a in self.grid.frame.axes]], domain="cells")[0]
+        return self.isel(**{d: int(min(max(np.floor(p + 0.5), 0), self.grid.sizes[d] - 1)) for d, p in zip(self.grid.dims, at, strict=True)})
+
     def head(self, **n: int) -> FramedDF:
         return self.isel(**{d: slice(0, k) for d, k in n.items()})
 

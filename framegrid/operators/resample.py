@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framegrid.functions.transforms import AffineTransform, columns_of, compose, coordinate_system_change, identity
+from framegrid.functions.transforms import AffineTransform, compose, coordinate_system_change, identity, masked_columns_of
 from framegrid.operators import tiles
 from framegrid.operators.boxes import box_resample
 from framegrid.operators.cubic import cubic_gather, filtered
@@ -124,8 +124,8 @@ def position_columns(plan: Located, domain: str) -> tuple[dict[str, Column], Col
             inside = inside & (p >= F.lit(-before - 1e-9)) & (p <= F.lit(n - 1 + after + 1e-9))
             out[d] = F.greatest(F.lit(0.0), F.least(p, F.lit(float(n - 1))))
         return out, inside
-    coords = columns_of(plan.chain, [_target_coordinate(plan.target, a) for a in plan.chain.source.axes])
-    inside, out = F.lit(True), {}
+    coords, inside = masked_columns_of(plan.chain, [_target_coordinate(plan.target, a) for a in plan.chain.source.axes])
+    out: dict[str, Column] = {}
     for c, name in zip(coords, plan.chain.target.axes, strict=True):
         axis = source.axis(name)
         lon = longitude_of(source, axis)

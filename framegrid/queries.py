@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framegrid.functions import tensors
-from framegrid.functions.fields import BSPLINE, DISPLACEMENT, field_map
+from framegrid.functions.fields import BSPLINE, DISPLACEMENT, DisplacementFieldTransform, field_map
 from framegrid.functions.transforms import (
     AffineTransform,
     GeodeticToCartesian,
@@ -110,6 +110,29 @@ from target left join cells on pos_q = floor(least(greatest(p, 0), 49) + 0.5) an
 """
 
 
+def resample_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through a displacement field that covers a part of the target; the rest is filled, not an error."""
+    moved = ReferenceFrame.declared("framegrid", "moved-plane", _SYSTEM)
+    t = AffineTransform.from_matrix(np.diag([10.0, 3.0]), source=ArrayCoordinates(("a", "b"), ("1", "1")), target=moved, translation=[0, 0])
+    nodes = Grid(t, {"a": ("a", np.arange(4)), "b": ("b", np.arange(3))})
+    a, b = np.meshgrid(np.arange(4.0), np.arange(3.0), indexing="ij")
+    field = DisplacementFieldTransform(nodes, np.stack([0.5 * a, 0.25 * b - 0.1], -1), target=PLANE)
+    base = oblique_grid()
+    target = Grid(base.transform.with_endpoints(target=moved), {"u": ("u", np.arange(40)), "v": ("v", np.arange(8))})
+    out = resample(surface(spark, sf_dir), surface_grid(), target, transform=field, fill_value=FILL)
+    return out.select("pos_u", "pos_v", F.round("value", 4).alias("value"))
+
+
+def _field_sql() -> str:
+    inner = _linear_sql().split("placed as")[1]
+    return f"""
+with {SURFACE_SQL}, {_oblique_sql().replace("target as", "asked as")},
+target as (select pos_u, pos_v, p + 0.05 * (p + 1) as p, r + 0.25 * r / 3 - 0.1 as r from asked where p + 1 >= 0 and p + 1 < 30 and r >= 0 and r < 6),
+placed as{inner.rsplit("from corners t", 1)[0]} from corners t {inner.rsplit("from corners t", 1)[1]}
+union all select pos_u, pos_v, {FILL}::double from asked where not (p + 1 >= 0 and p + 1 < 30 and r >= 0 and r < 6)
+"""
+
+
 def same_grid_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reversed, shifted and transposed window: values are copied, nothing is interpolated."""
     source = ArrayCoordinates(("a", "b"), ("1", "1"), sample_offset=(0.5, 0.5))
@@ -721,6 +744,7 @@ select count(*) as n, min(v) as first, max(v) as last, min(step) as least_step,
 
 _ALL: list[tuple[Callable[[SparkSession, str], DataFrame], str | None]] = [
     (resample_linear_2d, _linear_sql()), (resample_cells, _linear_sql(before=0.5)), (resample_nearest, NEAREST_SQL), (resample_cubic, None),
+    (resample_field, _field_sql()),
     (same_grid_gather, SAME_GRID_SQL), (resample_missing, MISSING_SQL), (resample_carried, CARRIED_SQL), (affine_map, AFFINE_SQL), (system_change, SYSTEM_SQL),
     (grid_points, GRID_POINTS_SQL), (positions_at_uniform, _uniform_sql()), (positions_at_nonuniform, NONUNIFORM_SQL), (points_at, POINTS_AT_SQL),
     (geodetic_to_ecef, ECEF_SQL), (ecef_to_geodetic, GEODETIC_SQL), (seam_linear, SEAM_SQL), (pole_linear, POLE_SQL), (isel_slice, ISEL_SQL), (sel_nearest, SEL_SQL),

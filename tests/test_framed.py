@@ -465,6 +465,17 @@ def test_component_declarations_change_basis_and_resample(spark):
         resample_components(framed.df, g, target, column="v", size=3, kind=tensors.VECTOR, transform=twist, fill_value=7.0)
 
 
+def test_nearest_sample_and_first_failure(image):
+    from framegrid.operators.diagnostics import first_failure
+
+    assert image.nearest_to({"X": 7.4, "Y": 0.2}).df.first()["value"] == 20.0
+    with pytest.raises(ValueError):
+        image.nearest_to({"X": 70.0, "Y": 0.2})
+    row = first_failure(image.df, F.col("value") > 11, image.geometry_dims).first()
+    assert row["n"] == 7 and tuple(row["first"]) == (0, 2)
+    assert first_failure(image.df, F.lit(False), image.geometry_dims).first()["first"] is None
+
+
 def test_coincidence_report(spark):
     g = plane()
     a = g.to_df(spark, points=True)
