@@ -18,6 +18,8 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack as pack_ids
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ WORD_PENALTY = 16
 WORD_STEP = 32
 BLOCK_TOKENS = 1 << 20
 PIECES, WORDS = 250_000, 1_000_000
+#: Letters before this are Latin; their lower case and composition are the same in every Unicode version.
+_NOT_LATIN = "\u0250"
 #: ASCII punctuation without the apostrophe, which the tokenizer's contractions begin with.
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -50,8 +54,10 @@ class Encoder:
 
     The tokenizer separates white space, letters and other characters before it merges, so a text's ids
     are those of its pieces between spaces and line ends, and a piece of letters with punctuation behind
-    it has the ids of both parts. Ids of pieces and of lower-cased words are kept in bounded caches; what
-    has another shape is encoded as it stands, and so is a text that holds a special token's string.
+    it has the ids of both parts. A word of Latin letters that is lower-cased and composed already passes
+    the tokenizer's normalisers and splitter unchanged, so it goes to its merge model directly, in the
+    byte alphabet that model uses. Ids of pieces and words are kept in bounded caches; what has another
+    shape is encoded as it stands, and so is a text that holds a special token's string.
     """
 
     def __init__(self, path: str):
@@ -59,6 +65,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
+        self.alphabet = byte_alphabet()
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
@@ -103,12 +111,27 @@ class Encoder:
         if len(words) > WORDS:
             words.clear()
             new = {x: None for _, low, tail in parts for x in (low, tail)}
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(list(new), add_special_tokens=False), strict=True):
-            words[word] = np.array(found.ids, "<u4").tobytes()
+        other = []
+        for word in new:
+            if word.isalpha() and max(word) < _NOT_LATIN and word.islower() and is_normalized("NFC", word):
+                mapped = word.encode().decode("latin-1").translate(self.alphabet)
+                found = [t.id for t in self.merge(mapped)]
+                words[word] = pack_ids(f"<{len(found)}I", *found)
+            else:
+                other.append(word)
+        for word, encoded in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            words[word] = np.array(encoded.ids, "<u4").tobytes()
         for p, low, tail in parts:
             self.pieces[p] = words[low] + words[tail]
 
 
+def byte_alphabet() -> dict[int, int]:
+    """The printable character that byte-level models use for each byte: itself, or the next from U+0100."""
+    shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 0x100 + n for n, b in enumerate(hidden)}
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process, so that its caches serve all of its tasks."""

@@ -138,6 +138,13 @@ def test_pieces_of_any_text(text):
     assert np.frombuffer(t[1](text), "<u4").tolist() == t[0].encode(text, add_special_tokens=False).ids
 
 
+def test_every_latin_letter_takes_the_right_path(tokenizer):
+    encode = packing.Encoder(packing.tokenizer_path())
+    for code in range(0x250):
+        for t in (chr(code), f"a{chr(code)}", f"{chr(code)}b", f"a{chr(code)}c."):
+            assert np.frombuffer(encode(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, hex(code)
+
+
 def test_small_caches_change_nothing(tokenizer, monkeypatch):
     monkeypatch.setattr(packing, "PIECES", 3)
     monkeypatch.setattr(packing, "WORDS", 3)
