@@ -231,7 +231,9 @@ def resample(
         raise ValueError("coverage and average support belong to the box methods")
     margin = 24 if method == CUBIC else 1
     values = cropped(values.select(*[pos(d) for d in source.dims], *carried, *value_columns), reach(plan, margin))
-    if tiles.fits(plan, method) and missing_rows == "nan" and not (method == CUBIC and any(n < 2 for n in source.sizes.values())):
+    # The kernel works in double, which would not keep a copied bigint.
+    exact = method == NEAREST and any(kinds[v] == "bigint" for v in value_columns)
+    if tiles.fits(plan, method) and missing_rows == "nan" and not exact and not (method == CUBIC and any(n < 2 for n in source.sizes.values())):
         coefficients = filtered(values, source.dims, carried, value_columns) if method == CUBIC else values
         out = tiles.tile_gather(plan, coefficients, value_columns, carried, method=method, fill_value=float(fill_value), domain=domain)
         made = [_typed(F.col(v), kinds[v], method, fill_value).alias(v) for v in value_columns]
