@@ -86,26 +86,24 @@ class Poles:
     longitude: Longitude
     low: str | None
     high: str | None
+    #: Slope, offset and full turn of the angle along the axis.
+    mapping: tuple[float, float, float]
 
     def extended(self) -> tuple[Axis, int]:
         """The axis with a mirrored row at each end that has a pole, and how many lie in front."""
-        v, slope_pole = self.latitude.flat, self._pole_labels()
+        v, poles = self.latitude.flat, self._pole_labels()
         rows = list(v)
         if self.low:
-            rows.insert(0, 2 * slope_pole[0] - v[1 if self.low == "odd" else 0])
+            rows.insert(0, 2 * poles[0] - v[1 if self.low == "odd" else 0])
         if self.high:
-            rows.append(2 * slope_pole[1] - v[-2 if self.high == "odd" else -1])
+            rows.append(2 * poles[1] - v[-2 if self.high == "odd" else -1])
         return Axis(self.latitude.name, self.latitude.dim, np.array(rows)), int(bool(self.low))
 
     def _pole_labels(self) -> tuple[float, float]:
-        slope, offset, turn = self._map
+        slope, offset, turn = self.mapping
         a, b = ((-turn / 4 - offset) / slope, (turn / 4 - offset) / slope)
         return (a, b) if (a < b) == (self.latitude.flat[1] > self.latitude.flat[0]) else (b, a)
 
-    @property
-    def _map(self) -> tuple[float, float, float]:
-        return self.__dict__["map"]
-
     def position_column(self, c: Column, domain: str) -> tuple[Column, Column]:
         """The position on the unextended axis, -1 to n, and whether the row lies inside."""
         axis, front = self.extended()
@@ -148,8 +146,7 @@ def poles_of(grid: Grid) -> Poles | None:
             return "odd"
         return "even" if tol < 2 * gap <= widest + tol else None
 
-    found = Poles(lat, lon, kind(angles[0]), kind(angles[-1]))
-    found.__dict__["map"] = mapping
+    found = Poles(lat, lon, kind(angles[0]), kind(angles[-1]), mapping)
     return found if found.low or found.high else None
 
 

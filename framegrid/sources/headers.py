@@ -405,8 +405,7 @@ def cf_grid(coordinates: Mapping[str, Mapping[str, Any]], *, frame: ReferenceFra
         if coordinates[name].get("bounds") is not None:
             b = np.sort(np.asarray(coordinates[name]["bounds"], float), axis=1)
             if role == "longitude":
-                wide = (b[:, 1] - b[:, 0] > 180) & ((v < b[:, 0]) | (v > b[:, 1]) | True)
-                outside = wide & ((v - b[:, 0] > 90) | (b[:, 1] - v > 90))
+                outside = b[:, 1] - b[:, 0] > 180
                 up = outside & (np.abs(b[:, 1] - v) < np.abs(v - b[:, 0]))
                 b = np.where(outside[:, None], np.where(up[:, None], np.stack([b[:, 1], b[:, 0] + 360], 1), np.stack([b[:, 1] - 360, b[:, 0]], 1)), b)
             share = (v - b[:, 0]) / (b[:, 1] - b[:, 0])
