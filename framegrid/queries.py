@@ -167,16 +167,16 @@ def hour_grid(n: int, first: float, step: float = 1.0, name: str = "h") -> Grid:
 
 
 def resample_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly means by event type at half-hour steps: an hour without events is missing, not zero."""
+    """Hourly means of root values by event type at half-hour steps: an hour without events is missing, not zero."""
     events = read(spark, sf_dir, "events")
-    hourly = events.groupBy("event_type", _hour_of_month().alias("pos_h")).agg(F.avg("value").alias("value"))
+    hourly = events.groupBy("event_type", _hour_of_month().alias("pos_h")).agg(F.avg(F.sqrt(F.abs("value"))).alias("value"))
     target = hour_grid(900, -10.25, 0.85, "g")
     out = resample(hourly, hour_grid(HOURS, 0.0), target, carried=["event_type"], fill_value=FILL)
     return out.select("pos_g", "event_type", F.isnan("value").alias("missing"), F.round(F.when(F.isnan("value"), F.lit(0.0)).otherwise(F.col("value")), 4).alias("value"))
 
 
 MISSING_SQL = f"""
-with hourly as (select event_type, ((epoch_us(ts) // 3600000000) % 720 + 720) % 720 as h, avg(value) as value from events group by 1, 2),
+with hourly as (select event_type, ((epoch_us(ts) // 3600000000) % 720 + 720) % 720 as h, avg(sqrt(abs(value))) as value from events group by 1, 2),
 target as (select range as pos_g, 0.85::double * range + (-10.25)::double as p from range(900)),
 placed as (select *, p >= -1e-9 and p <= 719 + 1e-9 as inside, least(greatest(p, 0), 719) as cp from target),
 c as (select *, floor(cp) as i, cp - floor(cp) as f from placed),
@@ -571,9 +571,9 @@ select j::bigint as pos_bin, round(coalesce(avg(value), {FILL}), 4) as value fro
 
 
 def box_average_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly event means averaged over uneven bins of time, by event type."""
+    """Hourly sums of root event values averaged over uneven bins of time, by event type."""
     events = read(spark, sf_dir, "events")
-    hourly = events.groupBy("event_type", _hour_of_month().alias("pos_h")).agg(F.sum("value").alias("value"))
+    hourly = events.groupBy("event_type", _hour_of_month().alias("pos_h")).agg(F.sum(F.sqrt(F.abs("value"))).alias("value"))
     full = hour_grid(HOURS, 0.0).to_df(spark, coordinates=False).crossJoin(events.select("event_type").distinct()).join(hourly, ["pos_h", "event_type"], "left")
     full = full.withColumn("value", F.coalesce("value", F.lit(0.0)))
     source = ArrayCoordinates(("h",), ("h",), sample_offset=(0.0,))
@@ -589,7 +589,7 @@ def box_average_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BOX_EVENTS_SQL = f"""
-with hourly as (select event_type, ((epoch_us(ts) // 3600000000) % 720 + 720) % 720 as h, sum(value) as value from events group by 1, 2),
+with hourly as (select event_type, ((epoch_us(ts) // 3600000000) % 720 + 720) % 720 as h, sum(sqrt(abs(value))) as value from events group by 1, 2),
 bin as (select range as j, range * (range + 1) / 2 as lo, (range + 1) * (range + 2) / 2 as hi from range(36))
 select j as pos_bin, k.event_type, round(case when least(hi, 720) - least(lo, 720) >= 0.5 * (hi - lo) then coalesce(sum(value), 0) / (least(hi, 720) - lo) else {FILL} end, 4) as value
 from bin cross join (select distinct event_type from events) k left join hourly on hourly.event_type = k.event_type and h >= lo and h < hi group by j, lo, hi, k.event_type
