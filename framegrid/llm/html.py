@@ -3,7 +3,9 @@
 A page is parsed into blocks of text. Element subtrees are hashed, their hashes are counted for each
 host over its distinct pages in Spark, and subtrees that recur across many pages of the host are
 deleted. Elements whose role alone marks them as no part of the article (menus, footers, adverts, reader
-comments and so on) go in any case, since much of their text may change from page to page.
+comments and so on) go in any case, since much of their text may change from page to page. A class or id
+only names a role if one of its tokens as a whole does, and not where the element holds an article, main
+or more than half of the page's text: layout wrappers are named after what stands beside the article too.
 
 What the article element holds is judged more carefully than what stands around it: paragraphs and
 headings in it are never deleted, and its container elements only where they recur on a large share of
@@ -53,6 +55,15 @@ NOISE = frozenset(
     "breadcrumbs footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login "
     "share sharing social related recommended comment comments disqus replies pagination pager widget skip toolbar".split()
 )
+#: Words that may stand beside those in a token; any other word (has, with, free, layout ...) gives it another sense.
+FILLER = frozenset(
+    "area article articles bar block body bottom box button buttons center col column container content desktop dfp dialog div "
+    "entry fixed floating form google gpt group heading header icon icons iframe image img info inline inner item items label large "
+    "law leaderboard left link links list main media message mobile next outer panel placeholder policy post posts previous primary "
+    "respond right row secondary section site skyscraper slot small space sticky text thread title top unit wrap wrapper zone".split()
+)
+#: Of these the articles in them are others than the page's, so they only stay where the page has none besides.
+OTHERS = frozenset("comment comments disqus replies related recommended".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: An opening tag of the first kind closes an open element of the second, up to a boundary of the third.
 _CLOSES_P = BLOCKS - {"br", "option", "optgroup", "caption", "legend", "html", "body", "tbody", "thead", "tfoot", "tr", "td", "th"}
@@ -61,6 +72,16 @@ _BOUNDARY = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"tab
 _SCOPE = frozenset("article aside blockquote body center details div fieldset figure footer form header html main nav section table td th ul ol dl li".split())
 
 
+@dataclass(eq=False)
+class _Named:
+    """An element that a class or id names as no part of the article; the page's end decides on it."""
+
+    others: bool
+    size: int = 0  # characters of text in it
+    article: int = 0  # those of them in an article or main in it
+    kept: bool = False
+
+
 @dataclass
 class _Element:
     tag: str
@@ -68,6 +89,9 @@ class _Element:
     article: int  # 2 inside an article element, 1 inside main, else 0
     sign: list[str] = field(default_factory=list)
     first: int = 0  # the first block that may lie in it
+    named: tuple[_Named, ...] = ()  # those it lies in, from outside
+    around: int = 0  # so many of them lie around its article or main
+    ends: bool = False  # its end also ends a block
 
 
 @dataclass
@@ -75,6 +99,7 @@ class Block:
     text: str
     article: int
     paths: list[int] = field(default_factory=list)
+    named: tuple[_Named, ...] = ()
 
 
 @dataclass
@@ -90,24 +115,50 @@ class Page:
         return {h for b in self.blocks for h in b.paths}
 
 
-def _is_noise(tag: str, attrs: str, inside: int) -> bool:
+def _is_noise(tag: str, attrs: str) -> bool:
+    """Whether tag, role or hiding drop the element."""
     if tag in DROPPED:
         return True
     if not attrs or tag in ("html", "body", "main"):
         return False
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id"):
-            words = {w.lower() for w in _WORD.findall(value)}
-            if words & NOISE and (tag != "article" or words & {"comment", "comments"}):
-                return True
-        elif name == "role" and value.lower() in ROLES:
+        if name == "role" and value.lower() in ROLES:
             return True
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
             return True
     return False
 
 
+def _naming(tag: str, attrs: str) -> set[str]:
+    """The words of NOISE in those tokens of class and id that hold no word of another sense."""
+    found: set[str] = set()
+    if not attrs or tag in ("html", "body", "main"):
+        return found
+    for name, value in _ATTR.findall(attrs):
+        if name.lower() in ("class", "id"):
+            for token in value.strip("\"'").split():
+                words = {w.lower() for w in _WORD.findall(token) if len(w) > 1}
+                if words & NOISE and words <= NOISE | FILLER:
+                    found |= words & NOISE
+    return found & {"comment", "comments"} if tag == "article" else found
+
+
+def _decide(blocks: list[Block]) -> list[Block]:
+    """The blocks that stay when each named element goes or stays as a whole."""
+    every = {n: None for b in blocks for n in b.named}
+    if not every:
+        return blocks
+    total = sum(len(b.text) for b in blocks)
+    for n in every:
+        n.kept = not n.others and (n.article > 0 or 2 * n.size > total)
+    left = [b for b in blocks if all(n.kept for n in b.named)]
+    article = any(b.article for b in left)
+    for n in every:
+        n.kept |= n.others and (not left or n.article > 0 and not article)
+    return [b for b in blocks if all(n.kept for n in b.named)]
+
+
 def parse(html: str | None) -> Page:
     """Blocks and subtree hashes of one page; malformed markup is read as browsers do where that matters.
 
@@ -128,7 +179,10 @@ def parse(html: str | None) -> Page:
                 e.sign.append(text)
             top = stack[-1]
             if not top.dropped:
-                open_blocks.append(Block(text, top.article))
+                open_blocks.append(Block(text, top.article, [], top.named))
+                for k, n in enumerate(top.named):
+                    n.size += len(text)
+                    n.article += len(text) if k < top.around else 0
 
     def close() -> None:
         e = stack[-1]
@@ -164,7 +218,7 @@ def parse(html: str | None) -> Page:
                 continue
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == tag:
-                    close_to(depth) if tag in BLOCKS or stack[depth].dropped else _close_inline(stack, depth)
+                    close_to(depth) if tag in BLOCKS or stack[depth].dropped or stack[depth].ends else _close_inline(stack, depth)
                     break
                 if tag not in BLOCKS and stack[depth].tag in BLOCKS:
                     break
@@ -193,22 +247,26 @@ def parse(html: str | None) -> Page:
                 e.sign.append("\0article")
         up = stack[-1]
         inside = 2 if tag == "article" or up.article == 2 else 1 if tag == "main" or up.article else 0
-        noise = _is_noise(tag, m[3], inside)
+        noise = _is_noise(tag, m[3])
         if up.dropped and tag in HEADINGS and up.tag in ("header", "hgroup") and up.article and not stack[-2].dropped:
             dropped = False  # the title in an article's own header
         else:
             dropped = up.dropped or noise
-        if noise or dropped != up.dropped:
+        words = set() if dropped or dropped != up.dropped else _naming(tag, m[3])
+        named = (*up.named, _Named(bool(words & OTHERS))) if words else up.named
+        if noise or words or dropped != up.dropped:
             flush()
-        stack.append(_Element(tag, dropped, inside, [], len(open_blocks)))
+        around = len(up.named) if tag in ("article", "main") and not words else up.around
+        stack.append(_Element(tag, dropped, inside, [], len(open_blocks), named, around, bool(words)))
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(text, at)
             at = end.start() if end else size
             flush()
             stack.pop()
     close_to(1)
-    best = max((b.article for b in open_blocks), default=0)
-    page.blocks = [b for b in open_blocks if b.article == best]
+    left = _decide(open_blocks)
+    best = max((b.article for b in left), default=0)
+    page.blocks = [b for b in left if b.article == best]
     return page
 
 

@@ -98,6 +98,27 @@ def test_parse(source, want):
     assert text_of(source) == want
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ('<div class="layout has-sidebar"><article><p>a</p></article></div>', "a"),
+        ('<div class="elementor-widget-container"><p>a <b>b</b>c</p></div>', "a bc"),
+        ('<div class="content ad-free"><p>a</p></div><p>much more besides</p>', "a much more besides"),
+        ('<div id="page-with-menu"><p>a</p></div><p>much more besides</p>', "a much more besides"),
+        ('<div class="sidebar"><div class="ad">no</div><article><p>a</p></article></div>', "a"),
+        ('<div class="widget"><main>un<b>believ</b>able</main></div><p>much more besides</p>', "unbelievable"),
+        ('<div id="overlay"><p>most of the text</p></div><p>yes</p>', "most of the text yes"),
+        ('<article class="post has-comments">a</article>', "a"),
+        ('<article><p>a</p></article><div class="related-posts"><article>no</article></div>', "a"),
+        ('<div class="related"><article><p>a</p></article></div><p>outside</p>', "a"),
+        ('<p>post</p><div id="comments">no, and at more length</div>', "post"),
+        ('<div class="site-footer">no</div><div class="ad-300x250">no</div><p>yes, it is</p>', "yes, it is"),
+    ],
+)
+def test_names_drop_no_wrapper_of_the_article(source, want):
+    assert text_of(source) == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("<>/p a\"'=!-divbuartcle&;")), max_size=80))
 def test_parse_takes_any_text(source):
