@@ -5,14 +5,21 @@ ignored place does not hide an overlap. The seeds of every place of every docume
 seeds of the benchmark items; around each hit both texts are compared word by word along the hit's
 diagonal, and the best run with substitutions decides.
 
+The masks follow from the item's length, the least run and the identity, so that every overlap holds an
+unchanged seed: k substitutions cut a run into k + 1 blocks of equal words, and were all of them of at
+most w words, two neighbours would have just w.
+
 The benchmark is the query set: its index is broadcast in blocks of at most ``block_words`` words, each
 block held against all documents in one pass, so a benchmark of any size stays within that bound.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
-from itertools import repeat
+from functools import lru_cache
+from itertools import groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,30 +28,41 @@ from pyspark.sql import functions as F
 
 from framegrid.llm.common import map_batches, utf8
 
-#: Words that a mask of ``1`` selects are hashed, those of ``0`` are ignored.
-MASKS = ("111111", "11011011", "1010110101", "11001010011")
 MIN_WORDS = 13
 MIN_IDENTITY = 0.8
 BLOCK_WORDS = 200_000
 _PUNCT = bytes(range(0x21, 0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x7F))
+_BETWEEN = frozenset("Pc Pd Ps Pe Pi Pf Po Zs Zl Zp".split())
 _UPPER = bytes(range(0x41, 0x5B))
 _CLEAN = bytes.maketrans(_PUNCT + _UPPER, b" " * len(_PUNCT) + _UPPER.lower())
-_MARKS = "“”‘’„«»‹›–—…¿¡·\u00a0\u2009\u202f\u3000"
-_GAP = max(map(len, MASKS))
+
+
+def _ranges(codes: list[int]) -> str:
+    """The code points, ascending, as ranges of a character class."""
+    runs = [[c for _, c in g] for _, g in groupby(enumerate(codes), lambda x: x[1] - x[0])]
+    return "".join(f"{re.escape(chr(x[0]))}-{re.escape(chr(x[-1]))}" for x in runs)
+
+
+#: Marks and spaces beyond ASCII, with the break of no width that stands between Thai and Khmer words.
+_MARKS = re.compile(f"[{_ranges([c for c in range(0x80, 0x1F000) if c == 0x200B or unicodedata.category(chr(c)) in _BETWEEN])}]")
+#: Each character of a script without spaces (Thai, Lao, Tibetan, Burmese, Khmer, kana, Han) with the signs
+#: that combine with it.
+_UNSPACED = re.compile(
+    "[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f"
+    "\U00020000-\U0003ffff][" + _ranges([c for a, b in ((0xE00, 0x1100), (0x1780, 0x1800), (0x3040, 0x3100)) for c in range(a, b) if unicodedata.category(chr(c))[0] == "M"]) + "]*"
+)
 _CHUNK_BYTES = 4_000_000
 _FILTER_BITS = 22
 
 
 def words_of(data: bytes | None) -> list[bytes]:
-    """Lower-cased words; white space and punctuation separate them."""
+    """Lower-cased words; white space and punctuation separate them. In scripts without spaces each
+    character is a word."""
     if not data:
         return []
     if not data.isascii():
         text = data.decode("utf-8", "replace").lower()
-        for c in _MARKS:
-            if c in text:
-                text = text.replace(c, " ")
-        data = text.encode()
+        data = _UNSPACED.sub(r" \g<0> ", _MARKS.sub(" ", text)).encode()
     return data.translate(_CLEAN).split()
 
 
@@ -69,10 +87,25 @@ def _seeds(values: np.ndarray, mask: str) -> np.ndarray:
     return total
 
 
+@lru_cache(1 << 16)
+def masks_of(n: int, min_words: int = MIN_WORDS, identity: float = MIN_IDENTITY) -> tuple[str, ...]:
+    """The masks of which one is met in every overlap with an item of ``n`` words; words that a mask of
+    ``1`` selects are hashed, those of ``0`` are ignored."""
+    length = np.arange(max(1, min(min_words, n)), n + 1)
+    equal = np.maximum(np.ceil(identity * length - 1e-9).astype(np.int64), np.minimum(length, 2))
+    blocks = length - equal + 1
+    sure = int((-(-equal // blocks)).min())
+    # Blocks of at most ``sure`` words, ``lack`` words short of that in all: two neighbours lack nothing.
+    lack = sure * blocks - equal
+    if ((lack < 0) | (lack < blocks // 2)).all():
+        return "1" * (sure + 1), "1" * sure + "0" + "1" * sure
+    return ("1" * sure,)
+
+
 class Index:
     """The words and seeds of one block of benchmark items."""
 
-    def __init__(self, items: list[tuple[int, bytes | None]]):
+    def __init__(self, items: list[tuple[int, bytes | None]], min_words: int = MIN_WORDS, identity: float = MIN_IDENTITY):
         split = [(i, words_of(t)) for i, t in items]
         split = [(i, w) for i, w in split if w]
         self.item_ids = [i for i, _ in split]
@@ -83,20 +116,25 @@ class Index:
         self.items = [np.array([self.vocabulary[w] for w in words], np.int64) for _, words in split]
         self.values = _random(len(self.vocabulary) + 1, 0x243F6A8885A308D3)
         self.tables = []
-        for mask in MASKS:
-            seeds = [_seeds(self.values[x], mask) for x in self.items]
+        of: dict[str, list[int]] = {}
+        for k, x in enumerate(self.items):
+            for mask in masks_of(len(x), min_words, identity):
+                of.setdefault(mask, []).append(k)
+        self.gap = max(map(len, of), default=0)
+        for mask, own in of.items():
+            seeds = [_seeds(self.values[self.items[k]], mask) for k in own]
             h = np.concatenate([*seeds, np.zeros(0, np.uint64)])
-            item = np.repeat(np.arange(len(seeds)), [len(x) for x in seeds])
+            item = np.repeat(np.array(own), [len(x) for x in seeds])
             place = np.concatenate([*[np.arange(len(x)) for x in seeds], np.zeros(0, np.int64)])
             order = np.argsort(h, kind="stable")
             maybe = np.zeros(1 << _FILTER_BITS, bool)
             maybe[h >> np.uint64(64 - _FILTER_BITS)] = True
-            self.tables.append((h[order], item[order], place[order].astype(np.int64), maybe))
+            self.tables.append((mask, h[order], item[order], place[order].astype(np.int64), maybe))
 
     def hits(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(place, item, item place) of every seed hit."""
         values = self.values[ids]
-        for mask, (h, item, place, maybe) in zip(MASKS, self.tables, strict=True):
+        for mask, h, item, place, maybe in self.tables:
             seeds = _seeds(values, mask)
             if not len(seeds) or not len(h):
                 continue
@@ -131,21 +169,24 @@ def overlaps(index: Index, texts: list[bytes | None], min_words: int, identity:
     for t in texts:
         words = words_of(t)
         starts.append(size)
-        parts += [np.fromiter(map(get, words, repeat(0)), np.int32, len(words)), np.zeros(_GAP, np.int32)]
-        size += len(words) + _GAP
+        parts += [np.fromiter(map(get, words, repeat(0)), np.int32, len(words)), np.zeros(index.gap, np.int32)]
+        size += len(words) + index.gap
     ids, bounds = np.concatenate(parts) if parts else np.zeros(0, np.int32), np.array(starts)
     found: list[set[tuple[int, int]]] = [set() for _ in texts]
     for p, k, q in index.hits(ids):
         found[int(np.searchsorted(bounds, p, "right")) - 1].add((k, p - q))
     out: list[list[Overlap]] = [[] for _ in texts]
     for n in range(len(texts)):
-        start, end = starts[n], (starts[n + 1] if n + 1 < len(starts) else size) - _GAP
+        start, end = starts[n], (starts[n + 1] if n + 1 < len(starts) else size) - index.gap
         best: dict[int, Overlap] = {}
         for k, d in sorted(found[n]):
             item = index.items[k]
             a, b = max(0, start - d), min(len(item), end - d)
-            at, length, matches = best_run(ids[a + d : b + d] == item[a:b], identity)
-            if length >= min(min_words, len(item)) and (k not in best or matches > best[k][4]):
+            same, least = ids[a + d : b + d] == item[a:b], min(min_words, len(item))
+            if np.count_nonzero(same) < identity * least - 1e-9:
+                continue
+            at, length, matches = best_run(same, identity)
+            if length >= least and (k not in best or matches > best[k][4]):
                 best[k] = (index.item_ids[k], a + at + d - start, a + at, length, matches)
         out[n] = [best[k] for k in sorted(best)]
     return out
@@ -189,14 +230,15 @@ def contamination(
     An overlap is a run of at least ``min_words`` aligned words (all of a shorter item) that begins and
     ends with equal words and of whose words at least ``identity`` are equal. Null and empty texts
     overlap with nothing; null ids are passed on; repeated rows give repeated results; items with the
-    same text each get their row. Items of under six words have no seed and are not looked for.
+    same text each get their row. Every overlap is found, also with an item of one word, which is met
+    wherever that word stands.
     """
     spark, out = docs.sparkSession, None
     schema = "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_match long"
     names = [x.split()[0] for x in schema.split(", ")]
     texts = docs.select(F.col("doc_id").cast("long"), utf8("text"))
     for block in _blocks(benchmark, "item_id", "text", block_words):
-        shared = spark.sparkContext.broadcast(Index(block))
+        shared = spark.sparkContext.broadcast(Index(block, min_words, identity))
 
         def search(batches, shared=shared):
             for batch in batches:
@@ -223,7 +265,7 @@ def drop_contaminated(
     """``docs`` without the rows whose text overlaps with an item, all columns kept, no shuffle."""
     spark, at = docs.sparkSession, docs.columns.index("text")
     for block in _blocks(benchmark, "item_id", "text", block_words):
-        shared = spark.sparkContext.broadcast(Index(block))
+        shared = spark.sparkContext.broadcast(Index(block, min_words, identity))
 
         def clean(batches, shared=shared):
             for batch in batches:

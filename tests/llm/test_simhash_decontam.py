@@ -188,3 +188,40 @@ def test_case_and_punctuation_beyond_ascii_do_not_hide_a_leak(spark):
     docs = documents(spark, [(1, "xx " + passage.upper().replace("«", "").replace("»", ""))])
     bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
     assert decontam.contamination(docs, bench).count() == 1
+
+
+def test_every_overlap_with_an_item_of_any_length_is_found():
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    items = [[word() for _ in range(n)] for n in (*range(1, 21), 25, 30)]
+    index = decontam.Index([(k, " ".join(x).encode()) for k, x in enumerate(items)])
+    for k, item in enumerate(items):
+        inner = range(1, len(item) - 1)
+        most = int(0.2 * len(item) + 1e-9)
+        places = list(itertools.combinations(inner, min(most, len(inner))))
+        docs = []
+        for gone in rng.sample(places, min(len(places), 300)):
+            docs.append([word() for _ in range(3)] + [word() if i in gone else w for i, w in enumerate(item)] + [word()])
+        found = decontam.overlaps(index, [" ".join(d).encode() for d in docs], 13, 0.8)
+        for doc, own in zip(docs, found, strict=True):
+            assert brute_overlaps(item, doc, 13, 0.8)
+            assert k in [o[0] for o in own], (len(item), doc)
+
+
+@pytest.mark.parametrize(("n", "identity"), [(4, 0.8), (5, 0.8), (7, 0.8), (10, 0.8), (11, 0.8), (12, 0.8), (15, 0.8), (16, 0.8), (15, 0.7), (14, 0.6)])
+def test_masks_meet_every_run_of_an_item(n, identity):
+    masks = decontam.masks_of(n, 13, identity)
+    for size in range(min(13, n), n + 1):
+        for same in itertools.product("01", repeat=size - 2 if size > 1 else 0):
+            run = "1" + "".join(same) + "1" if size > 1 else "1"
+            if run.count("1") >= identity * size - 1e-9:
+                assert any(all(run[p + i] == "1" for i, c in enumerate(m) if c == "1") for m in masks for p in range(size - len(m) + 1)), run
+
+
+@pytest.mark.parametrize("item", ["中华人民共和国的首都是哪一座城市", "日本で一番高い山の名前は何ですか", "เมืองหลวงของประเทศไทยคือเมืองอะไร"])
+def test_items_in_scripts_without_spaces_are_found(spark, item):
+    changed = item[:5] + ("x" if item[0] == "เ" else "啊") + item[6:]
+    docs = documents(spark, [(1, f"前文{item}。后文"), (2, f"ก่อน {changed}"), (3, item[:4]), (4, "another text, clean")])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r["doc_id"] for r in decontam.contamination(docs, bench).collect()} == {1, 2}
+    assert {r["doc_id"] for r in decontam.drop_contaminated(docs, bench).collect()} == {3, 4}
