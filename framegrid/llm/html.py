@@ -8,8 +8,9 @@ only names a role if one of its tokens as a whole does, and not where the elemen
 or more than half of the page's text: layout wrappers are named after what stands beside the article too.
 
 What the article element holds is judged more carefully than what stands around it: paragraphs and
-headings in it are never deleted, and its container elements only where they recur on a large share of
-the host's pages, so that a passage which many articles quote stays.
+headings in it are never deleted, its container elements only where they recur on a large share of
+the host's pages, so that a passage which many articles quote stays, and its list items, like paragraphs
+and list items that stand in main alone, only where nearly all of the host's pages have them.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from framegrid.llm.common import map_batches, shared_dir
 MIN_PAGES = 5
 #: One inside the article goes when it also recurs on this share of them.
 INNER_SHARE = 0.3
+#: A list item in the article, and a paragraph or list item in main alone, when it recurs on this share.
+LEAF_SHARE = 0.9
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:--!?>|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:(?:[^>"']|"[^"]*"|'[^']*')*+(?=>))|[^>]*)>""", re.S
@@ -163,7 +166,8 @@ def parse(html: str | None) -> Page:
     """Blocks and subtree hashes of one page; malformed markup is read as browsers do where that matters.
 
     Blocks are those of article elements if one has text, else those of main, else all. The hash of a
-    subtree covers tags and text; its lowest bit tells whether it lies inside an article or main.
+    subtree covers tags and text; its lowest bit tells whether it lies inside an article or main, the next
+    whether it is a single paragraph or list item there.
     """
     page, stack = Page(), [_Element("", False, 0)]
     pieces: list[str] = []
@@ -186,10 +190,11 @@ def parse(html: str | None) -> Page:
 
     def close() -> None:
         e = stack[-1]
-        if e.tag in CONTAINERS or e.article == 0 and e.tag in BLOCKS and e.tag not in ("html", "body", "main", "article"):
+        leaf = e.article > 0 and e.tag == "li" or e.article == 1 and e.tag == "p"
+        if leaf or e.tag in CONTAINERS or e.article == 0 and e.tag in BLOCKS and e.tag not in ("html", "body", "main", "article"):
             if e.sign and "\0article" not in e.sign:
-                h = xxhash.xxh64_intdigest(f"{e.tag}\0" + "\0".join(e.sign)) & ~1
-                h = (h | (1 if e.article else 0)) - (1 << 63)
+                h = xxhash.xxh64_intdigest(f"{e.tag}\0" + "\0".join(e.sign)) & ~3
+                h = (h | (3 if leaf else 1 if e.article else 0)) - (1 << 63)
                 page.subtrees.add(h)
                 for b in open_blocks[e.first :]:
                     b.paths.append(h)
@@ -295,13 +300,14 @@ def _subtrees(pages: DataFrame) -> DataFrame:
     return map_batches(pages.select("page_id", "host", "html"), run, "page_id long, host string, body long, subtrees array<long>, live array<long>")
 
 
-def templates(subtrees: DataFrame, min_pages: int = MIN_PAGES, inner_share: float = INNER_SHARE) -> DataFrame:
+def templates(subtrees: DataFrame, min_pages: int = MIN_PAGES, inner_share: float = INNER_SHARE, leaf_share: float = LEAF_SHARE) -> DataFrame:
     """(host, subtree): the hashes that recur on enough distinct pages of their host."""
     each = subtrees.select("host", "body", F.explode("subtrees").alias("subtree")).distinct()
     often = each.groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     hosts = subtrees.select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     inner = F.col("subtree").bitwiseAND(F.lit(1)) == 1
-    return often.join(hosts, "host").filter(~inner | (F.col("n") >= inner_share * F.col("pages"))).select("host", "subtree")
+    share = F.when(F.col("subtree").bitwiseAND(F.lit(2)) == 2, leaf_share).otherwise(inner_share)
+    return often.join(hosts, "host").filter(~inner | (F.col("n") >= share * F.col("pages"))).select("host", "subtree")
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, inner_share: float = INNER_SHARE) -> DataFrame:

@@ -143,3 +143,16 @@ def test_template_of_a_site_goes_and_quoted_passages_stay(spark):
     assert all(by[i] == "the same text" for i in range(50, 60))
     assert (by[70], by[71], by[None]) == ("", "x", "y")
     assert html.extract(pages(spark, [])).count() == 0
+
+
+def test_notices_in_main_and_list_items_on_nearly_all_pages_go(spark):
+    rows = [(i, f"http://a.example/{i}", f"<main><p>notice</p><p>own {i}</p><ul><li>item<li>mine {i}</ul></main>") for i in range(12)]
+    for i in range(20, 32):
+        often = "<p>quoted</p>" if i < 28 else ""
+        rows.append((i, f"http://b.example/{i}", f"<main>{often}<p>own {i}</p></main>"))
+    for i in range(40, 52):
+        rows.append((i, f"http://c.example/{i}", f"<article><p>quoted</p><ul><li>item<li>mine {i}</ul></article>"))
+    by = {r["page_id"]: r["text"] for r in html.extract(pages(spark, rows)).collect()}
+    assert all(by[i] == f"own {i} mine {i}" for i in range(12))
+    assert all(by[i] == ("quoted " if i < 28 else "") + f"own {i}" for i in range(20, 32))
+    assert all(by[i] == f"quoted mine {i}" for i in range(40, 52))
