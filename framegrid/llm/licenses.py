@@ -94,7 +94,7 @@ class Scanner:
         self.automaton.make_automaton()
 
     def scan(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(pattern, start, end, edits) in ``text``; of overlapping fuzzy places the one found first."""
+        """(pattern, start, end, edits) in ``text``; of overlapping fuzzy places the one of least edits."""
         exact: list[tuple[int, int, int, int]] = []
         windows: dict[int, list[list[int]]] = {}
         for end, (length, places) in self.automaton.iter(text):
@@ -114,11 +114,12 @@ class Scanner:
                     merged[-1][1] = max(b, merged[-1][1])
                 else:
                     merged.append([a, b])
-            for a, b in merged:
-                at = a
-                while m := self.verify[k].search(text, at, b):
+            # A search gives the best place of a stretch; others may stand on both sides of it.
+            while merged:
+                a, b = merged.pop()
+                if m := self.verify[k].search(text, a, b):
                     exact.append((k, m.start(), m.end(), sum(m.fuzzy_counts)))
-                    at = max(m.end() - 1, m.start() + 1)
+                    merged += [[a, m.start() + 1], [max(m.end() - 1, m.start() + 1), b]]
         return sorted(exact, key=lambda x: (x[1], x[0]))
 
     def hits(self, data: bytes | None) -> tuple[int, list[Hit]]:

@@ -73,6 +73,15 @@ def test_pigeonhole_candidates_lose_no_match():
         assert bool(scanner.scan(text)) == bool(fuzzy.search(text)), text
 
 
+def test_notices_back_to_back_keep_all_their_spans():
+    scanner = licenses.Scanner([licenses.Pattern(" gnu affero general public license ", "agpl", 2, False)])
+    worse, best = "gnu afero general public license", "gnu affero general public license"
+    for parts in ([worse, best], [best, worse], [worse, best, worse], [worse, worse], [worse, best, best, worse]):
+        found = scanner.scan(f" {' '.join(parts)} ")
+        assert [e for _, _, _, e in found] == [int(p == worse) for p in parts]
+        assert all(b <= c + 1 for (_, _, b, _), (_, c, _, _) in zip(found, found[1:]))
+
+
 def test_license_rows(spark):
     rows = [(1, None), (2, ""), (3, "MIT License. the mit\nlicense"), (3, "MIT License. the mit\nlicense"), (None, "apache license"), (4, "Licensed under the Apache Licence, Version 2.0")]
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, labels string")
