@@ -162,9 +162,14 @@ def _gain(p: np.ndarray, n: np.ndarray, p0: int, n0: int) -> np.ndarray:
         return np.where(p > 0, p * (np.log2(p / np.maximum(p + n, 1)) - math.log2(p0 / (p0 + n0))), -np.inf)
 
 
-def _grow(x: dict[str, np.ndarray], bad: np.ndarray, first: frozenset[str]) -> list[Condition]:
-    """Conditions added by the greatest gain until no clean row is left; the first tests one of ``first``."""
-    live, out = np.ones(len(bad), bool), []
+def _grow(x: dict[str, np.ndarray], bad: np.ndarray, first: frozenset[str]) -> tuple[list[Condition], str | None]:
+    """Conditions added by the greatest gain until no clean row is left, and the feature it began with.
+
+    The first condition tests one of ``first``; of equal gains the first feature, side and threshold in
+    their order win. A later, tighter condition on the first one's feature takes its place further back,
+    so the list's own first entry need not tell where the rule began.
+    """
+    live, out, began = np.ones(len(bad), bool), [], None
     while len(out) < MAX_CONDITIONS and (live & ~bad).any():
         p0, n0 = int((live & bad).sum()), int((live & ~bad).sum())
         best: tuple[float, Condition] | None = None
@@ -184,10 +189,11 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, first: frozenset[str]) -> l
                     best = (float(gain[k]), Condition(name, above, float(marks[k])))
         if best is None:
             break
+        began = began or best[1].feature
         live &= best[1].holds(x)
         # a tighter threshold on the same side takes the place of the looser one
         out = [c for c in out if (c.feature, c.above) != (best[1].feature, best[1].above)] + [best[1]]
-    return out
+    return out, began
 
 
 def _prune(conditions: list[Condition], x: dict[str, np.ndarray], bad: np.ndarray) -> list[Condition]:
@@ -203,13 +209,17 @@ def _prune(conditions: list[Condition], x: dict[str, np.ndarray], bad: np.ndarra
 
 
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, turn: np.ndarray) -> DecisionList:
-    """Rules for the rows marked ``bad``; ``turn`` tells the rows that rules are pruned on."""
+    """Rules for the rows marked ``bad``; ``turn`` tells the rows that rules are pruned on.
+
+    A rule that does not hold out takes its starting feature off ``first``, so each rule is tried at most
+    once for each feature and learning ends on any labels, noise included.
+    """
     rules: list[Rule] = []
     left, first = np.ones(len(bad), bool), frozenset(x)
     while len(rules) < MAX_RULES and first and (left & bad & ~turn).any() and (left & ~bad & ~turn).any():
         of = lambda m: {k: v[m] for k, v in x.items()}
         grow, check = left & ~turn, left & turn
-        grown = _grow(of(grow), bad[grow], first)
+        grown, began = _grow(of(grow), bad[grow], first)
         conditions = _prune(grown, of(check), bad[check])
         if not conditions:
             break
@@ -220,7 +230,7 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, turn: np.ndarray) -> Decisi
         wrong = int((everywhere & ~bad).sum())
         if p < MIN_COVER or p < MIN_PRECISION * (p + n) or int((everywhere & bad).sum()) < MIN_PRECISION * int(everywhere.sum()):
             # not precise where it was not grown: begin with another feature
-            first -= {c.feature for c in grown[:1]} or first
+            first -= {began}
             continue
         rules.append(Rule(tuple(conditions), int((hit & bad).sum()), wrong))
         left, first = left & ~hit, frozenset(x)
@@ -242,7 +252,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> D
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), "id")
     stats = with_statistics(texts)
-    rows = stats.select("id", "quality", *[v.alias(k) for k, v in features().items()]).dropDuplicates(["id"]).toPandas().sort_values("id")
+    # of rows that share an id the least statistics count, whichever way the rows lie
+    one = stats.groupBy("id").agg(F.min("quality").alias("quality"), F.min(F.struct(*[PREFIX + k for k in STATS])).alias("least")).select("id", "quality", "least.*")
+    rows = one.select("id", "quality", *[v.alias(k) for k, v in features().items()]).toPandas().sort_values("id")
     if not len(rows):
         return DecisionList()
     x = {k: rows[k].to_numpy(float) for k in features()}
@@ -273,5 +285,10 @@ def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
 
 
 def keep(docs: DataFrame, rules: DecisionList) -> DataFrame:
-    """The documents that the base and the rules keep, with all their columns and without a shuffle."""
-    return with_statistics(docs).filter(~base_failed() & (rules.fired() == 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that the base and the rules keep, with all their columns and without a shuffle.
+
+    Columns of any name pass through, also those that begin with PREFIX: they are numbered meanwhile.
+    """
+    numbered = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    judged = with_statistics(numbered, f"c{docs.columns.index('text')}").filter(~base_failed() & (rules.fired() == 0))
+    return judged.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

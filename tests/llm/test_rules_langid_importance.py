@@ -70,6 +70,48 @@ def test_decision_list_is_one_ordered_conditional(spark):
     assert got == {1: 2, 2: 1, 3: 0, 4: 1}
 
 
+@pytest.mark.parametrize("seed", range(24))
+def test_learning_ends_on_labels_that_are_noise(seed):
+    """Also where a rule's tightened first condition has moved behind the others."""
+    import signal
+
+    rng = np.random.default_rng(seed)
+    n = 600
+    x = {f"f{k}": np.round(rng.random(n), 2 if seed % 2 else 9) for k in range(7)}
+    bad, turn = rng.random(n) < 0.3, rng.random(n) < 0.3
+
+    def late(*_):
+        raise TimeoutError("learning does not end")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.alarm(20)
+    try:
+        learned = rules.learn(x, bad, turn)
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+    assert len(learned.rules) <= rules.MAX_RULES
+    for rule in learned.rules:
+        hit = rule.holds(x)
+        assert (hit & bad).sum() >= rules.MIN_PRECISION * hit.sum()
+
+
+def test_columns_named_like_statistics_and_with_dots_pass(spark):
+    docs = spark.createDataFrame([(1, "word " * 20 + " ".join(f"w{i}" for i in range(80)), 7, 8)], "doc_id long, text string, framegrid_stat_n_words int, `a.b` int")
+    kept = rules.keep(docs, rules.DecisionList())
+    assert kept.columns == docs.columns
+    assert [tuple(r)[2:] for r in kept.collect()] == [(7, 8)]
+
+
+def test_of_documents_that_share_an_id_the_same_is_learned_from_in_any_order(spark):
+    rows, labels = corpus(90)
+    rows += [(i, "x " * 70, "en") for i in range(0, 90, 9)]
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    a = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    b = spark.createDataFrame(rows[::-1], "doc_id long, text string, lang string").repartition(5)
+    assert rules.fit(a, marks) == rules.fit(b, marks)
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, None), (None, "x", "en"), (2, "", "en"), (2, "", "en")]])
 def test_operators_take_empty_and_null_rows(spark, rows):
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, kept string")
