@@ -2,20 +2,24 @@
 
 A page is parsed into blocks of text. Element subtrees are hashed, their hashes are counted for each
 host over its distinct pages in Spark, and subtrees that recur across many pages of the host are
-deleted. Elements whose role alone marks them as no part of the article (menus, footers, adverts, reader
-comments and so on) go in any case, since much of their text may change from page to page. A class or id
+deleted first, wherever they stand. What is left is judged by role: elements that HTML or their name
+marks as no part of the article (menus, footers, adverts, reader comments and so on) go too, since much
+of their text may change from page to page, or a host may have too few pages to count. A class or id
 only names a role if one of its tokens as a whole does, and not where the element holds an article, main
 or more than half of the page's text: layout wrappers are named after what stands beside the article too.
 
-What the article element holds is judged more carefully than what stands around it: paragraphs and
-headings in it are never deleted, its container elements only where they recur on a large share of
-the host's pages, so that a passage which many articles quote stays, and its list items, like paragraphs
-and list items that stand in main alone, only where nearly all of the host's pages have them.
+The page's text is what main holds, in a page without main what its articles hold, else all of it. What
+the article element holds is judged more carefully than what stands around it: paragraphs and headings
+in it are never deleted, its container elements only where they recur on a large share of the host's
+pages, so that a passage which many articles quote stays, and its list items, like paragraphs and list
+items that stand in main alone, only where nearly all of the host's pages have them.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Callable, Container, Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -32,6 +36,8 @@ MIN_PAGES = 5
 INNER_SHARE = 0.3
 #: A list item in the article, and a paragraph or list item in main alone, when it recurs on this share.
 LEAF_SHARE = 0.9
+#: So many template hashes at most go to every worker, some 50 MB there; more are joined.
+BROADCAST_SUBTREES = 500_000
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:--!?>|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:(?:[^>"']|"[^"]*"|'[^']*')*+(?=>))|[^>]*)>""", re.S
@@ -80,7 +86,7 @@ class _Named:
     """An element that a class or id names as no part of the article; the page's end decides on it."""
 
     others: bool
-    size: int = 0  # characters of text in it
+    size: int = 0  # characters of text in it that are still there
     article: int = 0  # those of them in an article or main in it
     kept: bool = False
 
@@ -95,6 +101,7 @@ class _Element:
     named: tuple[_Named, ...] = ()  # those it lies in, from outside
     around: int = 0  # so many of them lie around its article or main
     ends: bool = False  # its end also ends a block
+    main: bool = False
 
 
 @dataclass
@@ -103,19 +110,32 @@ class Block:
     article: int
     paths: list[int] = field(default_factory=list)
     named: tuple[_Named, ...] = ()
+    around: int = 0
+    dropped: bool = False
+    main: bool = False
 
 
 @dataclass
 class Page:
-    """The blocks that roles keep, and the hashes of all subtrees that may be template."""
+    """All blocks of a page, and the hashes of all its subtrees that may be template."""
 
-    blocks: list[Block] = field(default_factory=list)
+    every: list[Block] = field(default_factory=list)
     subtrees: set[int] = field(default_factory=set)
 
+    def main_text(self, template: Container[int] = frozenset()) -> tuple[list[Block], int]:
+        """(the blocks of the main text, how many blocks lay in a subtree of ``template`` and went first)."""
+        left = [b for b in self.every if not any(h in template for h in b.paths)]
+        removed = len(self.every) - len(left)
+        left = _decide([b for b in left if not b.dropped])
+        if any(b.main for b in left):
+            return [b for b in left if b.main], removed
+        best = max((b.article for b in left), default=0)
+        return [b for b in left if b.article == best], removed
+
     @property
-    def live(self) -> set[int]:
-        """Those of the subtrees that hold a block; deleting any other would change nothing."""
-        return {h for b in self.blocks for h in b.paths}
+    def blocks(self) -> list[Block]:
+        """The main text's blocks where no template is known."""
+        return self.main_text()[0]
 
 
 def _is_noise(tag: str, attrs: str) -> bool:
@@ -152,6 +172,12 @@ def _decide(blocks: list[Block]) -> list[Block]:
     every = {n: None for b in blocks for n in b.named}
     if not every:
         return blocks
+    for n in every:
+        n.size = n.article = 0
+    for b in blocks:
+        for k, n in enumerate(b.named):
+            n.size += len(b.text)
+            n.article += len(b.text) if k < b.around else 0
     total = sum(len(b.text) for b in blocks)
     for n in every:
         n.kept = not n.others and (n.article > 0 or 2 * n.size > total)
@@ -162,12 +188,11 @@ def _decide(blocks: list[Block]) -> list[Block]:
     return [b for b in blocks if all(n.kept for n in b.named)]
 
 
-def parse(html: str | None) -> Page:
+def parse(html: str | None, host: str = "") -> Page:
     """Blocks and subtree hashes of one page; malformed markup is read as browsers do where that matters.
 
-    Blocks are those of article elements if one has text, else those of main, else all. The hash of a
-    subtree covers tags and text; its lowest bit tells whether it lies inside an article or main, the next
-    whether it is a single paragraph or list item there.
+    The hash of a subtree covers host, tags and text; its lowest bit tells whether it lies inside an
+    article or main, the next whether it is a single paragraph or list item there.
     """
     page, stack = Page(), [_Element("", False, 0)]
     pieces: list[str] = []
@@ -182,18 +207,14 @@ def parse(html: str | None) -> Page:
             for e in stack:
                 e.sign.append(text)
             top = stack[-1]
-            if not top.dropped:
-                open_blocks.append(Block(text, top.article, [], top.named))
-                for k, n in enumerate(top.named):
-                    n.size += len(text)
-                    n.article += len(text) if k < top.around else 0
+            open_blocks.append(Block(text, top.article, [], top.named, top.around, top.dropped, top.main))
 
     def close() -> None:
         e = stack[-1]
         leaf = e.article > 0 and e.tag == "li" or e.article == 1 and e.tag == "p"
         if leaf or e.tag in CONTAINERS or e.article == 0 and e.tag in BLOCKS and e.tag not in ("html", "body", "main", "article"):
             if e.sign and "\0article" not in e.sign:
-                h = xxhash.xxh64_intdigest(f"{e.tag}\0" + "\0".join(e.sign)) & ~3
+                h = xxhash.xxh64_intdigest(f"{host}\0{e.tag}\0" + "\0".join(e.sign)) & ~3
                 h = (h | (3 if leaf else 1 if e.article else 0)) - (1 << 63)
                 page.subtrees.add(h)
                 for b in open_blocks[e.first :]:
@@ -262,16 +283,14 @@ def parse(html: str | None) -> Page:
         if noise or words or dropped != up.dropped:
             flush()
         around = len(up.named) if tag in ("article", "main") and not words else up.around
-        stack.append(_Element(tag, dropped, inside, [], len(open_blocks), named, around, bool(words)))
+        stack.append(_Element(tag, dropped, inside, [], len(open_blocks), named, around, bool(words), tag == "main" or up.main))
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(text, at)
             at = end.start() if end else size
             flush()
             stack.pop()
     close_to(1)
-    left = _decide(open_blocks)
-    best = max((b.article for b in left), default=0)
-    page.blocks = [b for b in left if b.article == best]
+    page.every = open_blocks
     return page
 
 
@@ -288,66 +307,79 @@ def host_of(url_col: str = "url"):
 
 
 def _subtrees(pages: DataFrame) -> DataFrame:
-    """(page_id, host, body, subtrees, live): ``body`` is the hash of the page's blocks."""
+    """(page_id, host, twin, body, subtrees): ``body`` is the hash of the page's main text by roles alone."""
 
     def run(batches):
         for batch in batches:
-            found = [parse(h) for h in batch.column(2).to_pylist()]
+            found = [parse(h, host) for host, h in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             bodies = [xxhash.xxh64_intdigest("\0".join(b.text for b in p.blocks)) - (1 << 63) for p in found]
-            lists = [pa.array([sorted(x) for x in own], pa.list_(pa.int64())) for own in ([p.subtrees for p in found], [p.live for p in found])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bodies, pa.int64()), *lists], ["page_id", "host", "body", "subtrees", "live"])
+            lists = pa.array([sorted(p.subtrees) for p in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bodies, pa.int64()), lists], ["page_id", "host", "twin", "body", "subtrees"])
 
-    return map_batches(pages.select("page_id", "host", "html"), run, "page_id long, host string, body long, subtrees array<long>, live array<long>")
+    return map_batches(pages.select("page_id", "host", "twin", "html"), run, "page_id long, host string, twin long, body long, subtrees array<long>")
 
 
 def templates(subtrees: DataFrame, min_pages: int = MIN_PAGES, inner_share: float = INNER_SHARE, leaf_share: float = LEAF_SHARE) -> DataFrame:
-    """(host, subtree): the hashes that recur on enough distinct pages of their host."""
+    """(subtree): the hashes that recur on enough distinct pages of their host.
+
+    A page counts by its main text, so copies of a page count once.
+    """
     each = subtrees.select("host", "body", F.explode("subtrees").alias("subtree")).distinct()
     often = each.groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     hosts = subtrees.select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     inner = F.col("subtree").bitwiseAND(F.lit(1)) == 1
     share = F.when(F.col("subtree").bitwiseAND(F.lit(2)) == 2, leaf_share).otherwise(inner_share)
-    return often.join(hosts, "host").filter(~inner | (F.col("n") >= share * F.col("pages"))).select("host", "subtree")
+    return often.join(hosts, "host").filter(~inner | (F.col("n") >= share * F.col("pages"))).select("subtree")
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, inner_share: float = INNER_SHARE) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, inner_share: float = INNER_SHARE, broadcast_subtrees: int = BROADCAST_SUBTREES) -> DataFrame:
     """(page_id, url, text, n_removed, n_blocks): the main text of each row of ``pages``.
 
-    ``n_removed`` counts the template subtrees deleted from what roles had kept. Only those are joined to
-    the pages again, so the blocks are shuffled only where a site keeps its template outside such roles.
+    ``n_removed`` of the page's ``n_blocks`` blocks lay in template subtrees and were deleted before
+    roles were judged. Up to ``broadcast_subtrees`` template hashes, which are counted first, go to the
+    workers as one sorted array; beyond that each page's own are joined to it, with the same result.
 
     Blocks are joined in page order by one space; the text is empty if none is left, also for a null or
     empty html. A null url counts as a host of its own kind, an empty name. Copies of a page count once
-    for the template. Rows with equal page_id lose what any of them loses; further columns are not read.
+    for the template; each row is judged by its own html, whatever others have its page_id, and a null
+    page_id is passed on. A page of any length is read whole; an empty table gives an empty result;
+    further columns are not read.
     """
     spark = pages.sparkSession
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), host_of().alias("host"), F.col("html").cast("string"))
-    subtrees = _subtrees(rows)
-    path = f"{shared_dir(spark)}/subtrees-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
-    subtrees.write.parquet(path)
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), host_of().alias("host"), F.xxhash64("html").alias("twin"), F.col("html").cast("string"))
+    path = f"{shared_dir(spark)}/subtrees-{uuid.uuid4()}"
+    _subtrees(rows).write.parquet(path)
     subtrees = spark.read.parquet(path)
-    found = templates(subtrees, min_pages, inner_share)
+    templates(subtrees, min_pages, inner_share).write.parquet(f"{path}-templates")
+    found = spark.read.parquet(f"{path}-templates")
+    if found.count() <= broadcast_subtrees:
+        known = spark.sparkContext.broadcast(frozenset(found.toArrow().column("subtree").to_pylist()))
+        return map_batches(rows.drop("twin"), _extracted(lambda row: known.value), _SCHEMA)
     removed = (
-        subtrees.select("page_id", "host", F.explode("live").alias("subtree"))
-        .join(found, ["host", "subtree"])
-        .groupBy(F.col("page_id").alias("of")).agg(F.collect_set("subtree").alias("removed"))
+        subtrees.select("page_id", "host", "twin", F.explode("subtrees").alias("subtree")).join(found, "subtree")
+        .groupBy("page_id", "host", "twin").agg(F.collect_set("subtree").alias("removed"))
     )
     removed.write.parquet(f"{path}-removed")
-    removed = spark.read.parquet(f"{path}-removed")
+    removed = spark.read.parquet(f"{path}-removed").select(F.col("page_id").alias("of"), F.col("host").alias("at"), F.col("twin").alias("like"), "removed")
+    same = rows.page_id.eqNullSafe(removed.of) & (rows.host == removed["at"]) & (rows.twin == removed.like)
+    joined = rows.join(removed, same, "left").select("page_id", "url", "host", "html", "removed")
+    return map_batches(joined, _extracted(lambda row: frozenset(row[4] or ())), _SCHEMA)
 
-    def run(batches):
-        kind = pa.list_(pa.struct([("text", pa.string()), ("paths", pa.list_(pa.int64()))]))
+
+_SCHEMA = "page_id long, url string, text string, n_removed long, n_blocks long"
+
+
+def _extracted(template_of: Callable[[tuple], Container[int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blocks = [[{"text": b.text, "paths": b.paths} for b in parse(h).blocks] for h in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blocks, kind)], ["page_id", "url", "blocks"])
-
-    parsed = map_batches(rows.select("page_id", "url", "html"), run, "page_id long, url string, blocks array<struct<text:string,paths:array<long>>>")
-    joined = parsed.join(removed, parsed.page_id.eqNullSafe(removed.of), "left")
-    left = F.when(F.col("removed").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.arrays_overlap(b["paths"], F.col("removed"))))
-    return joined.select(
-        "page_id",
-        "url",
-        F.concat_ws(" ", F.transform(left, lambda b: b["text"])).alias("text"),
-        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
-        F.size("blocks").cast("long").alias("n_blocks"),
-    )
+            texts, removed, sizes = [], [], []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                page = parse(row[3], row[2])
+                blocks, gone = page.main_text(template_of(row))
+                texts.append(" ".join(b.text for b in blocks))
+                removed.append(gone)
+                sizes.append(len(page.every))
+            made = [pa.array(texts, pa.string()), pa.array(removed, pa.int64()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["page_id", "url", "text", "n_removed", "n_blocks"])
+
+    return run

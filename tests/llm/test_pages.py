@@ -92,6 +92,8 @@ def text_of(source):
         ("<table><tr><td>1<td>2<tr><td>3</table>", "1 2 3"),
         ("a < b and c > d", "a < b and c > d"),
         ("<p hidden>no</p><p style='display: none'>no</p><p>yes</p>", "yes"),
+        ('<main><p>Lead</p><article class="teaser">Other story</article><p>Rest</p></main>', "Lead Other story Rest"),
+        ('<article><p>a</p><section id="related-work">b</section><div class="social-history">c</div></article>', "a b c"),
     ],
 )
 def test_parse(source, want):
@@ -156,3 +158,56 @@ def test_notices_in_main_and_list_items_on_nearly_all_pages_go(spark):
     assert all(by[i] == f"own {i} mine {i}" for i in range(12))
     assert all(by[i] == ("quoted " if i < 28 else "") + f"own {i}" for i in range(20, 32))
     assert all(by[i] == f"quoted mine {i}" for i in range(40, 52))
+
+
+def brute_extraction(rows, min_pages=5, inner=0.3, leaf=0.9):
+    """Main texts by counting subtrees in plain Python, page by page."""
+    parsed = [html.parse(h, html_host(u)) for _, u, h in rows]
+    hosts: dict = {}
+    for (_, u, _), p in zip(rows, parsed, strict=True):
+        body = tuple(b.text for b in p.blocks)
+        hosts.setdefault(html_host(u), {}).setdefault(body, set()).update(p.subtrees)
+    out = []
+    for (i, u, _), p in zip(rows, parsed, strict=True):
+        pages = hosts[html_host(u)].values()
+        n = {h: sum(h in own for own in pages) for h in p.subtrees}
+        often = {h for h, k in n.items() if k >= min_pages and (not h & 1 or k >= (leaf if h & 2 else inner) * len(pages))}
+        blocks, gone = p.main_text(often)
+        out.append((i, " ".join(b.text for b in blocks), gone))
+    return sorted(out, key=str)
+
+
+def html_host(url):
+    import re
+
+    m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "")
+    return m[1].lower() if m else ""
+
+
+def site(rng, host, n):
+    bits = ["<div class='teaser'>Read more from us</div>", "<nav><a>Home</a></nav>", "<p>Our promise</p>", "<ul><li>Shop</li><li>About</li></ul>", "<footer>Imprint</footer>", "<section><p>All rights</p></section>"]
+    for k in range(n):
+        around = "".join(x for x in bits if rng.random() < 0.6)
+        inner = "".join(x for x in bits[2:4] if rng.random() < 0.5)
+        kind = rng.choice(["article", "main", "div"])
+        yield f"http://{host}/{k}", f"<body>{around}<{kind}><h1>T{k}</h1><p>{host} own {k % 7}</p>{inner}</{kind}><div>{rng.choice('abc')}</div></body>"
+
+
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_template_removal_equals_brute_force_over_hosts(spark, broadcast):
+    """Also where the template's hashes are too many for the workers and are joined to their pages."""
+    import random
+
+    rng = random.Random(6)
+    rows = [(k, u, h) for k, (u, h) in enumerate([*site(rng, "a.example", 30), *site(rng, "b.example", 14), *site(rng, "c.example", 3)])]
+    rows += [(None, "http://a.example/x", rows[0][2]), (None, "http://b.example/x", rows[31][2]), (3, rows[40][1], rows[40][2]), (50, None, None), rows[5]]
+    got = html.extract(pages(spark, rows), broadcast_subtrees=broadcast).collect()
+    assert sorted(((r["page_id"], r["text"], r["n_removed"]) for r in got), key=str) == brute_extraction(rows)
+    assert sum(r["n_removed"] for r in got) > len(rows)
+    assert any("Our promise" not in r["text"] and "Read more" not in r["text"] for r in got)
+
+
+def test_a_very_long_page_is_read_whole(spark):
+    words = " ".join(f"w{i}" for i in range(200_000))
+    got = html.extract(pages(spark, [(1, "http://a/", f"<article><p>{words}</p></article>")])).first()
+    assert got["text"] == words
