@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -172,16 +173,17 @@ def _split(rows: DataFrame, level: int) -> DataFrame:
     )
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each node's component, for the nodes that ``edges`` (u, v) name.
 
-    Large-star and small-star steps alternate until the links no longer change; every node then links
-    to its root. Each round's links go to the shared folder, so neither lineage nor driver memory grows.
+    Large-star and small-star steps alternate until the links no longer change, however many rounds that
+    takes (their number grows with the logarithm of the nodes); every node then links to its root. Each
+    round's links go to the shared folder, so neither lineage nor driver memory grows.
     """
     edges, before = cut(edges.select("u", "v").filter("u != v")), None
     # The least neighbours are written before they are joined: then both sides of the join have an
     # exchange of their own and AQE may split the links of a node that has very many.
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -193,13 +195,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
 
 
+def _rooted(distinct: DataFrame) -> DataFrame:
+    """``distinct`` (fp and more, one row for each fp) with ``root``, the least fingerprint of its component."""
+    roots = cut(components(links(distinct.select("fp"))))
+    return cut(distinct.join(roots, distinct.fp == roots.node, "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id): one row per row of ``docs``.
 
@@ -210,22 +216,59 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of ``docs`` are not read.
     """
     fps = cut(fingerprints(docs, id_col, text_col))
-    distinct = cut(fps.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = cut(components(links(distinct.select("fp"))))
-    joined = cut(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
+    joined = _rooted(cut(fps.groupBy("fp").agg(F.min("id").alias("least"))))
     ids = cut(joined.groupBy("root").agg(F.min("least").alias("component_id")))
     by_fp = cut(joined.select("fp", "root").join(ids, "root").select("fp", "component_id"))
     return fps.join(by_fp, "fp").select("id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the least doc_id; rows without doc_id all stay."""
-    extra = (
-        near_duplicates(docs)
-        .filter(F.col("id").isNotNull() & (F.col("id") != F.col("component_id")))
-        .select(F.col("id").alias("doc_id"))
-        .distinct()
+#: Bits of the map that tells which rows may be copies: 8 MB on the driver and each worker, whatever the table's size.
+MAP_BITS = 1 << 26
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, all columns kept: that with the least (id, hash of the text), null ids last.
+
+    Decided row by row: an id that stands in several components with different texts loses only the rows
+    that are not their component's first. Of rows equal in id and text any one stays. A row alone in its
+    component always stays, so null and wordless texts, which share a fingerprint, leave one row. An
+    empty table gives an empty result; columns of any name pass through.
+
+    Whole texts are shuffled only for rows in components of several rows: those rows' keys set bits of a
+    map of fixed size, and a row whose bit is not set cannot be one of them. The others are joined with
+    the exact verdicts, so a full map costs time and changes nothing.
+    """
+    spark, names = docs.sparkSession, docs.columns
+    i, t = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    numbered = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    rows = cut(
+        map_rows(
+            numbered.select(F.col(i).cast("long"), F.xxhash64(t), utf8(t)),
+            lambda i, h, data: (i, h, _signed(fingerprint(data))),
+            "id long, hash long, fp long",
+        )
     )
-    named = docs.filter(F.col("doc_id").isNotNull())
-    kept = named.join(extra, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.union(docs.filter(F.col("doc_id").isNull()))
+    key = F.struct(F.col("id").isNull().alias("unnamed"), F.coalesce("id", F.lit(0)).alias("id"), "hash")
+    joined = _rooted(cut(rows.groupBy("fp").agg(F.min(key).alias("best"), F.count("*").alias("n"))))
+    groups = cut(joined.groupBy("root").agg(F.min("best").alias("first"), F.sum("n").alias("n")).filter("n > 1"))
+    crowded = cut(joined.join(groups.select("root", "first"), "root").select("fp", "first"))
+    verdict = cut(rows.join(crowded, "fp").select("id", "hash", (key != F.col("first")).alias("goes")).distinct())
+
+    place = lambda i, h: F.pmod(F.xxhash64(i, h), F.lit(MAP_BITS))
+    at = place(F.col("id"), F.col("hash"))
+    one = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    words = verdict.select(at.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    bits = np.zeros(MAP_BITS // 64, np.uint64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def marked(places: pd.Series) -> pd.Series:
+        p = places.to_numpy()
+        return pd.Series((shared.value[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+
+    keyed = numbered.withColumns({"id": F.col(i).cast("long"), "hash": F.xxhash64(t)})
+    keyed = keyed.withColumn("maybe", marked(place(F.col("id"), F.col("hash"))))
+    doubtful = keyed.filter("maybe").alias("d").join(verdict.alias("v"), F.expr("d.id <=> v.id and d.hash = v.hash"), "left")
+    doubtful = doubtful.filter(~F.coalesce("v.goes", F.lit(False))).select("d.*").dropDuplicates(["id", "hash"])
+    return keyed.filter("not maybe").unionByName(doubtful).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)])
