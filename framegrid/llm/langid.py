@@ -19,8 +19,12 @@ from pyspark.sql import functions as F
 from framegrid.llm.common import map_batches
 
 BUCKETS = 1 << 15
-#: About so many labelled documents of each language, those with the least hash of their id, are learned from.
+#: About so many labelled documents of each language are learned from, those with the least hash of id and text,
+#: and of all languages together about SAMPLE_ROWS at most, so that what the driver gets does not grow.
 SAMPLE_PER_LANG = 600
+SAMPLE_ROWS = 24_000
+#: Languages that are learned, the most frequent ones: a model has BUCKETS weights for each.
+MAX_LANGS = 256
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.8, 1.0, 0.02, 0.01
 UNKNOWN = "und"
@@ -127,21 +131,26 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
+def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, sample_rows: int = SAMPLE_ROWS, max_langs: int = MAX_LANGS) -> Model:
     """Learn from about ``per_lang`` documents of each language among those that are not held out.
 
-    Rows with a null id, text or language, or without a letter, are left out. Executors turn the chosen
-    texts into n-gram counts; the driver gets those alone, at most BUCKETS of them for a document.
+    Rows with a null id, text or language, or without a letter, are left out, and rows that repeat id,
+    text and language count once. With many languages fewer documents of each are taken, so that all are
+    about ``sample_rows`` at most, and beyond ``max_langs`` languages the most frequent are learned (of
+    equally frequent ones the first in their order). Executors turn the chosen texts into n-gram counts;
+    the driver gets those alone, at most BUCKETS of them for a document.
     """
     usable = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.col("lang").cast("string").alias("lang")).filter(
         "id is not null and text is not null and lang is not null"
     ).filter(~held_out("id"))
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    most = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    sizes = {r["lang"]: r["n"] for r in most.collect()}
     if not sizes:
         return Model((), np.zeros(BUCKETS), np.zeros((BUCKETS, 0)), np.zeros(0))
-    scale = 1 << 30
+    scale, per_lang = 1 << 30, max(1, min(per_lang, sample_rows // len(sizes)))
     limits = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(scale, scale * per_lang // n + 1))])
-    chosen = usable.filter(F.pmod(F.xxhash64("id"), F.lit(scale)) < limits[F.col("lang")])
+    # try_element_at gives null, which drops the row, for a language beyond the most frequent
+    chosen = usable.filter(F.pmod(F.xxhash64("id", "text"), F.lit(scale)) < F.try_element_at(limits, F.col("lang")))
 
     def counted(batches):
         for batch in batches:
@@ -156,12 +165,12 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
                 ["id", "lang", "at", "counts"],
             )
 
-    rows = map_batches(chosen, counted, "id long, lang string, at binary, counts binary").collect()
+    rows = map_batches(chosen, counted, "id long, lang string, at binary, counts binary").distinct().collect()
     return train(
         [
             (i, lang, at, counts)
             for i, lang, at, counts in sorted(
-                ((r["id"], r["lang"], np.frombuffer(r["at"], np.int32), np.frombuffer(r["counts"], np.int64)) for r in rows), key=lambda r: (r[0], r[1], len(r[2]))
+                ((r["id"], r["lang"], np.frombuffer(r["at"], np.int32), np.frombuffer(r["counts"], np.int64)) for r in rows), key=lambda r: (r[0], r[1], r[2].tobytes(), r[3].tobytes())
             )
         ]
     ) if rows else Model((), np.zeros(BUCKETS), np.zeros((BUCKETS, 0)), np.zeros(0))
@@ -170,8 +179,9 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): one row per row of ``docs``, from the whole text alone.
 
-    Null texts and texts without a letter are ``und`` with score 0. Repeated rows are predicted alike; a
-    null id is passed on and not held out; further columns are not read.
+    Null texts and texts without a letter are ``und`` with score 0. Of equally probable languages the
+    first in their order is taken. Repeated rows are predicted alike; a null id is passed on and not held
+    out; a text of any length counts whole; further columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
