@@ -1,8 +1,12 @@
 """Quality selection by importance resampling.
 
-Two generative models of hashed word n-grams are counted: one of target texts, one of all raw texts. A
-document's weight is the log of the ratio of its likelihoods, and a sample without replacement in
-proportion to the weights is the top k of the log weights plus Gumbel noise.
+Two generative models of hashed word n-grams are counted: one of target texts, one of all raw texts. The
+ratio of a document's likelihoods under them is its importance, ``log_ratio``, the sum over its n-grams.
+A sample without replacement in proportion to weights is the top k of the log weights plus Gumbel noise.
+
+The weight sampled by is a tempered importance, the ratio to the power of 1 / sqrt(n) for n n-grams
+(``log_weight`` = ``log_ratio`` / sqrt(n)): the sum grows with n and its chance part with sqrt(n), so with
+the plain ratio a text's length would decide alone, hundreds of nats against noise of about one.
 """
 
 from __future__ import annotations
@@ -100,32 +104,39 @@ def gumbel(id_col: str, seed: int = SEED) -> Column:
     return -F.log(-F.log((bits + 0.5) / F.lit(float(1 << 52))))
 
 
-def top(keys: DataFrame, k: int) -> DataFrame:
-    """``keys`` (doc_id, gumbel_key) with a boolean ``selected``, true for the k largest keys.
+def _radix_floor(rows: DataFrame, bits: str, k: int) -> tuple[int, int]:
+    """(the k-th largest value of the long column ``bits``, how many rows with that value belong to the k).
 
-    The k-th largest key is found bit by bit range: each of four passes counts the keys by the next 16
-    of their order-preserving bits, so the driver gets at most 2**16 counts a pass and nothing is sorted.
-    Of equal keys all or none are selected; none are equal but those of repeated ids, so rows that tie
-    at the end may make the sample larger by their number.
+    Found by ranges of bits: each of four passes counts the rows by the next 16 bits, so the driver gets
+    at most 2**16 counts a pass and nothing is sorted. There are at least k rows, and k is at least 1.
     """
-    rows = keys.withColumn("order_bits", _ordered_bits(F.col("gumbel_key")))
-    floor, left, prefix = -(1 << 63), k, 0
-    if k <= 0:
-        return keys.withColumn("selected", F.lit(False))
+    left, prefix = k, 0
     for step in range(4):
         shift = 48 - 16 * step
-        part = rows.filter(F.shiftright("order_bits", shift + 16) == F.lit(prefix)) if step else rows
-        digit = F.shiftright("order_bits", shift)
-        counts = sorted(((r["d"], r["n"]) for r in part.groupBy(digit.alias("d")).agg(F.count("*").alias("n")).collect()), reverse=True)
-        if step == 0 and sum(n for _, n in counts) <= k:
-            return keys.withColumn("selected", F.lit(True))
-        for d, n in counts:
+        part = rows.filter(F.shiftright(bits, shift + 16) == F.lit(prefix)) if step else rows
+        counts = part.groupBy(F.shiftright(bits, shift).alias("d")).agg(F.count("*").alias("n")).collect()
+        for d, n in sorted(((r["d"], r["n"]) for r in counts), reverse=True):
             if n >= left:
                 prefix = d
                 break
             left -= n
-        floor = prefix << shift
-    return rows.withColumn("selected", F.col("order_bits") >= F.lit(floor)).drop("order_bits")
+    return prefix, left
+
+
+def top(keys: DataFrame, k: int) -> DataFrame:
+    """``keys`` (doc_id, gumbel_key) with a boolean ``selected``, true for exactly the k largest keys.
+
+    Of rows with a key equal to the k-th, those that stand first are taken. The rows are written to the
+    shared folder first, where they keep their places.
+    """
+    rows = cut(keys.withColumns({"order_bits": _ordered_bits(F.col("gumbel_key")), "place": F.lit(-1).cast("long") - F.monotonically_increasing_id()}))
+    if k <= 0 or rows.count() <= k:
+        return rows.drop("order_bits", "place").withColumn("selected", F.lit(k > 0))
+    floor, left = _radix_floor(rows, "order_bits", k)
+    ties = rows.filter(F.col("order_bits") == F.lit(floor))
+    last = _radix_floor(ties, "place", left)[0]
+    chosen = (F.col("order_bits") > F.lit(floor)) | (F.col("order_bits") == F.lit(floor)) & (F.col("place") >= F.lit(last))
+    return rows.withColumn("selected", chosen).drop("order_bits", "place")
 
 
 def _ordered_bits(x: Column) -> Column:
@@ -149,13 +160,14 @@ def target_texts(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_R
 
 
 def resample(docs: DataFrame, target: DataFrame, keep_share: float = KEEP_SHARE, buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:
-    """(doc_id, n_grams, log_weight, gumbel_key, selected): one row per row of ``docs``.
-
-    ``target`` has the target texts in a column ``text``. ``log_weight`` is the mean log ratio over the
-    document's n-grams times the square root of their number, which tempers the weights of long texts;
-    a null or wordless text has weight 0 from 0 n-grams. ``keep_share`` of the rows are selected, to the
-    next whole row. Repeated rows and null ids share their noise, so rows with equal id and text are
-    selected together; an empty table gives an empty result; further columns are not read.
+    """(doc_id, n_grams, log_ratio, log_weight, gumbel_key, selected): one row per row of ``docs``.
+
+    ``target`` has the target texts in a column ``text``. ``log_ratio`` is the log of the ratio of the
+    text's likelihoods under both models, ``log_weight`` that divided by the square root of the number of
+    n-grams (see above); a null or wordless text has 0 for both from 0 n-grams. Exactly ``keep_share`` of
+    the rows, to the next whole row, are selected. Repeated rows and null ids share their noise; of equal
+    keys at the end those that stand first are taken. An empty table gives an empty result; a text of any
+    length is counted whole; further columns are not read.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), "text")
@@ -164,14 +176,16 @@ def resample(docs: DataFrame, target: DataFrame, keep_share: float = KEEP_SHARE,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = Hasher(buckets)
         for batch in batches:
-            n, weight = [], []
+            n, total = [], []
             for t in batch.column(1).to_pylist():
                 at = hashed(t)
                 n.append(len(at))
-                weight.append(float(ratio.value[at].sum()) / len(at) ** 0.5 if len(at) else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(weight, pa.float64())], ["doc_id", "n_grams", "log_weight"])
-
-    scored = map_batches(texts, run, "doc_id long, n_grams long, log_weight double")
-    keyed = cut(scored.withColumn("gumbel_key", F.col("log_weight") + gumbel("doc_id", seed)))
-    total = keyed.count()
-    return top(keyed, -(-int(total * keep_share * 1_000_000) // 1_000_000))
+                total.append(float(ratio.value[at].sum()))
+            weight = np.array(total) / np.sqrt(np.maximum(n, 1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(weight, pa.float64())], ["doc_id", "n_grams", "log_ratio", "log_weight"]
+            )
+
+    scored = map_batches(texts, run, "doc_id long, n_grams long, log_ratio double, log_weight double")
+    keyed = scored.withColumn("gumbel_key", F.col("log_weight") + gumbel("doc_id", seed))
+    return top(keyed, -(-int(docs.count() * keep_share * 1_000_000) // 1_000_000))

@@ -155,6 +155,22 @@ def test_language_held_out_accuracy_sparsity_and_calibration(spark):
     assert kept.columns == docs.columns and kept.count() > 0.9 * len(rows)
 
 
+def test_the_sample_is_bounded_over_languages_and_copies(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"{rng.choice('abcd')}{i % 40}" for _ in range(5)), f"l{i % 40:02d}") for i in range(2000)]
+    rows += [(7777, "the same text again", "l00")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept, train = [], langid.train
+    try:
+        langid.train = lambda found: kept.append(found) or train(found[:50])
+        langid.fit(docs, sample_rows=200, max_langs=30)
+    finally:
+        langid.train = train
+    found = kept[0]
+    assert 50 < len(found) < 400
+    assert len({r[1] for r in found}) <= 30 and sum(r[0] == 7777 for r in found) <= 1
+
+
 def test_temperature_is_the_minimum_of_the_loss():
     rng = np.random.default_rng(0)
     logits = rng.normal(size=(3000, 3)) * 4
@@ -186,6 +202,39 @@ def test_top_k_is_exact(spark):
         assert got == {i for i, _ in sorted(keys, key=lambda x: -x[1])[:k]}
 
 
+def test_top_k_is_exact_under_ties(spark):
+    keys = [(i // 3, float(i % 4)) for i in range(120)] + [(None, 2.0)] * 40
+    df = spark.createDataFrame(keys, "doc_id long, gumbel_key double").repartition(6)
+    for k in (1, 29, 30, 31, 75, 101, 150):
+        out = importance.top(df, k).collect()
+        assert len(out) == len(keys) and sum(r["selected"] for r in out) == k
+        least = min(r["gumbel_key"] for r in out if r["selected"])
+        assert all(r["selected"] for r in out if r["gumbel_key"] > least)
+
+
+def test_weights_are_the_ratio_of_both_models(spark):
+    """Against the models counted in plain Python."""
+    texts = ["a b a c", "b c d", "a a a a", None, "", "zz a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    target = spark.createDataFrame([("a b c",), ("a a",)], "text string")
+    buckets = 64
+    grams = lambda t: importance.Hasher(buckets)(t).tolist()
+    raw, good = np.ones(buckets), np.zeros(buckets)
+    for t in texts:
+        for g in grams(t):
+            raw[g] += 1
+    for t in ("a b c", "a a"):
+        for g in grams(t):
+            good[g] += 1
+    q = raw / raw.sum()
+    p = (good + importance.PRIOR * q) / (good.sum() + importance.PRIOR)
+    for r in importance.resample(docs, target, 0.5, buckets).collect():
+        own = grams(texts[r["doc_id"]])
+        want = sum(np.log(p[g] / q[g]) for g in own)
+        assert r["n_grams"] == len(own)
+        assert abs(r["log_ratio"] - want) < 1e-9 and abs(r["log_weight"] - want / max(1, len(own)) ** 0.5) < 1e-9
+
+
 def test_target_like_texts_weigh_more(spark):
     rows = [(i, ("good " * 40 + f"x{i}") if i % 2 else ("bad " * 40 + f"y{i}"), "en") for i in range(100)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
