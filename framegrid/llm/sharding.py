@@ -44,7 +44,8 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     table gives an empty result; further columns are not read.
 
     Slots need no task that sees a whole shard: rows are dealt by ranges of the order, counted in their
-    range, and shifted by the counts of the ranges before.
+    range, and shifted by the counts of the ranges before. Rows that repeat throughout are told apart by
+    their place in the table, so that very many of them still go to several ranges.
     """
     text = F.col(text_col).cast("binary")
     thin = docs.select(
@@ -52,9 +53,10 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(text), F.lit(0).cast("long")).alias("text_crc32"),
     )
-    order = ["doc_id", "text_crc32", "size"]
+    thin = thin.withColumn("place", F.monotonically_increasing_id())
+    order = ["doc_id", "text_crc32", "size", "place"]
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = thin.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    dealt = thin.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("place")
     schema = "doc_id long, size long, text_crc32 long, shard int, grown_shard int, part int, rank long"
 
     def number(batches):
