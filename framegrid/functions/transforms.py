@@ -58,10 +58,37 @@ def _points(points: Any, n: int) -> np.ndarray:
 
 
 def let(value: Column, use: Any) -> Column:
-    """``use(value)`` with ``value`` computed once, however often it is used."""
+    """``use(value)`` with ``value`` computed once, however often it is used.
+
+    For single expressions; ``transform_frame`` keeps the steps of a map as columns instead, which stay in
+    generated code.
+    """
     return F.transform(F.array(value), use)[0]
 
 
+#: Columns for the steps of a map are named after this and dropped with its result.
+STEP_PREFIX = "framegrid_step_"
+
+
+class Steps:
+    """A table that grows by named steps: each value is computed once, in generated code.
+
+    Every step is a projection of its own. The optimizer merges projections only where no value of
+    weight would be computed twice.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.df, self.n = df, sum(c.startswith(STEP_PREFIX) for c in df.columns)
+
+    def keep(self, *values: Column) -> list[Column]:
+        names = [f"{STEP_PREFIX}{self.n + k}" for k in range(len(values))]
+        self.df, self.n = self.df.withColumns(dict(zip(names, values, strict=True))), self.n + len(values)
+        return [F.col(x) for x in names]
+
+    def one(self, value: Column) -> Column:
+        return self.keep(value)[0]
+
+
 def checked(value: Column, what: str) -> Column:
     """``value``; a row where it is not finite raises when it is computed."""
     bad = F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
@@ -206,6 +233,13 @@ def columns_of(transform: Any, cols: Sequence[Column]) -> list[Column]:
     return [result[f"c{k}"] for k in range(n)]
 
 
+def stepped_columns_of(transform: Any, steps: Steps, cols: Sequence[Column]) -> list[Column]:
+    """As ``columns_of``, with the map's intermediate values and its result as columns of a growing table."""
+    if hasattr(transform, "stepped"):
+        return transform.stepped(steps, cols)
+    return steps.keep(*columns_of(transform, cols))
+
+
 def masked_columns_of(transform: Any, cols: Sequence[Column]) -> tuple[list[Column], Column]:
     """As ``columns_of``, with a column that tells where the map holds: a field that raises outside its
     support is not asked there, and neither is any member behind it."""
@@ -268,6 +302,11 @@ class CompositeTransform:
             cols = columns_of(t, cols)
         return list(cols)
 
+    def stepped(self, steps: Steps, cols: Sequence[Column]) -> list[Column]:
+        for t in self.transforms:
+            cols = stepped_columns_of(t, steps, cols)
+        return list(cols)
+
     def jacobian(self, at: Any) -> np.ndarray:
         out = None
         for t in self.transforms:
@@ -391,8 +430,13 @@ def transform_named(transform: Any, values: Mapping[str, Any]) -> dict[str, np.n
 def transform_frame(df: DataFrame, transform: Any, columns: Mapping[str, str] | None = None, prefix: str = "") -> DataFrame:
     """``df`` with the target axes as columns, from the source axes' columns by name."""
     names = columns or {a: a for a in transform.source.axes}
-    out = columns_of(transform, [F.col(names[a]).cast("double") for a in transform.source.axes])
-    return df.withColumns({f"{prefix}{a}": c for a, c in zip(transform.target.axes, out, strict=True)})
+    cols = [F.col(names[a]).cast("double") for a in transform.source.axes]
+    if not hasattr(transform, "stepped"):
+        return df.withColumns({f"{prefix}{a}": c for a, c in zip(transform.target.axes, columns_of(transform, cols), strict=True)})
+    steps = Steps(df)
+    out = transform.stepped(steps, cols)
+    made = steps.df.withColumns({f"{prefix}{a}": c for a, c in zip(transform.target.axes, out, strict=True)})
+    return made.drop(*[c for c in made.columns if c.startswith(STEP_PREFIX) and c not in df.columns])
 
 
 def coordinate_system_change(source: ReferenceFrame, target: ReferenceFrame) -> AffineTransform:
@@ -473,24 +517,31 @@ class _Forward(_Chart):
     _forward = True
 
     def columns(self, cols: Sequence[Column]) -> list[Column]:
+        return self._forward_columns(cols, lambda c: c)
+
+    def _forward_columns(self, cols: Sequence[Column], once: Any) -> list[Column]:
+        """The map's columns; ``once`` may make a step of a value that is used several times."""
         (i, j, k), (su, sv) = self._order(), self._scale()
-        lon, lat, third = cols[i] * F.lit(su), cols[j], cols[k]
+        lon, lat, third = once(cols[i] * F.lit(su)), cols[j], cols[k]
         quarter = full_turn(self._angular().units[j]) / 4
         pole = F.abs(lat) >= F.lit(quarter)
         off = F.abs(lat) > F.lit(quarter * (1 + 1e-12))
-        cos = F.when(pole, F.lit(0.0)).otherwise(F.cos(lat * F.lit(sv)))
+        cos = once(F.when(pole, F.lit(0.0)).otherwise(F.cos(lat * F.lit(sv))))
         sin = F.when(pole, F.signum(lat)).otherwise(F.sin(lat * F.lit(sv)))
-        sin = F.when(off, F.raise_error(F.lit("a latitude lies beyond the pole")).cast("double")).otherwise(sin)
+        sin = once(F.when(off, F.raise_error(F.lit("a latitude lies beyond the pole")).cast("double")).otherwise(sin))
         a, b2 = self._ellipse()
-        n = F.lit(a) / F.sqrt(cos * cos + F.lit(b2) * sin * sin)
-        flat = (n + third) * cos
-        x, y, z = flat * F.cos(lon), flat * F.sin(lon), (n * F.lit(b2) + third) * sin
+        n = once(F.lit(a) / F.sqrt(cos * cos + F.lit(b2) * sin * sin))
+        flat = once((n + third) * cos)
+        x, y, z = once(flat * F.cos(lon)), once(flat * F.sin(lon)), once((n * F.lit(b2) + third) * sin)
         low = third <= -n * F.lit(b2) if a else third < F.lit(0.0)
         if a and b2 < 1:
             low = low | (F.sqrt(x * x + y * y + z * z) <= F.lit((1 - b2) * a / math.sqrt(b2)))
         z = F.when(low, F.raise_error(F.lit("a point lies below what the chart can invert")).cast("double")).otherwise(z)
         return [x, y, z]
 
+    def stepped(self, steps: Steps, cols: Sequence[Column]) -> list[Column]:
+        return self._forward_columns(cols, steps.one)
+
     def transform_point(self, points: Any) -> np.ndarray:
         p = _points(points, 3)
         (i, j, k), (su, sv) = self._order(), self._scale()
@@ -642,6 +693,19 @@ class CartesianToGeodetic(_Backward):
         solved = let(k, lambda k: let(k * flat / (k + e2), lambda d: let(F.hypot(d, z), lambda far: F.struct((2 * F.atan2(z, far + d)).alias("lat"), ((k + e2 - 1) / k * far).alias("h")))))
         return F.atan2(y, x), solved["lat"], solved["h"]
 
+    def stepped(self, steps: Steps, cols: Sequence[Column]) -> list[Column]:
+        x, y, z = steps.keep(*cols)
+        e2, a = self._squared(), self.semi_major
+        flat = steps.one(F.hypot(x, y))
+        p, q = steps.keep((flat / a) ** 2, (z / a) ** 2 * (1 - e2))
+        u = steps.one(self._quartic(p, q, F.cbrt, F.sqrt, lambda value, use: use(steps.one(value))))
+        v = steps.one(F.sqrt(u * u + e2 * e2 * q))
+        w = steps.one(F.lit(e2) * (u + v - q) / (v * 2))
+        k = steps.one((u + v) / (F.sqrt(w * w + u + v) + w))
+        d = steps.one(k * flat / (k + e2))
+        far = steps.one(F.hypot(d, z))
+        return self._placed(F.atan2(y, x), 2 * F.atan2(z, far + d), (k + e2 - 1) / k * far, F.pmod, F.lit)
+
     def _quartic(self, p, q, cbrt, sqrt, bind):
         """The real root of the resolvent, from the squared scaled distances from the axis and the equator."""
         e4 = self._squared() ** 2

@@ -13,11 +13,13 @@ from dataclasses import dataclass, replace
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framegrid.functions.transforms import AffineTransform, compose, coordinate_system_change
+from framegrid.operators.labels import axis_labels, with_labels
 from framegrid.plans.declare import ReferenceFrame
 from framegrid.plans.grid import Grid, pos
 from framegrid.plans.sampling import Axis
@@ -324,14 +326,14 @@ class FramedDF:
         if fill:
             labels = grid.to_df(df.sparkSession)
             if self.carried:
-                labels = labels.crossJoin(df.select(*self.carried).distinct())
+                labels = with_labels(labels, df, self.carried)
             keys = [*[a.name for a in grid.axes if a.dim is not None], *self.carried]
             own = df.select(*keys, *[c for c in df.columns if c not in keys and c not in self.geometry_columns()])
             joined = labels.join(own, keys, "left")
             filled = {v: F.coalesce(F.col(v).cast("double"), F.lit(float("nan"))) for v in self.values}
             return self._with(joined.withColumns(filled).select(*self.df.columns), grid)
         for name, axis in moved.items():
-            table = df.sparkSession.createDataFrame([(float(x), k) for k, x in enumerate(axis.flat)], "label double, at long")
+            table = df.sparkSession.createDataFrame(pa.table({"label": axis.flat.astype(float), "at": np.arange(axis.size)}))
             df = df.join(F.broadcast(table) if axis.size <= 500_000 else table, F.col(name).cast("double") == F.col("label")).withColumn(pos(axis.dim), F.col("at")).drop("label", "at")
         return self._with(df.select(*self.df.columns), grid)
 
@@ -480,18 +482,18 @@ def frame_columns(df: DataFrame, transform: Any, *, carried: Sequence[str] = (),
                   ascending: bool = True) -> FramedDF:
     """Bind a table by its coordinate columns: each source axis' distinct labels become its dimension.
 
-    Only the labels, one-dimensional and distinct, come to the driver; positions are attached by a join.
+    Only the labels, one-dimensional and distinct, come to the driver, at most MAX_LABELS of an axis;
+    positions are attached by a join.
     """
     coordinates, out = {}, df
     for name in transform.source.axes:
         kind = df.schema[name].dataType
         if isinstance(kind, T.TimestampType | T.DateType | T.StringType | T.BooleanType):
             raise TypeError(f"coordinates of {name!r} must be real numbers; convert {kind.simpleString()} explicitly")
-        labels = [r[0] for r in df.select(name).distinct().sort(name, ascending=ascending).collect()]
-        if any(x is None for x in labels):
-            raise ValueError(f"coordinates of {name!r} hold null")
-        coordinates[name] = (name, np.array(labels))
-        table = df.sparkSession.createDataFrame([(x, k) for k, x in enumerate(labels)], f"{name} {kind.simpleString()}, {pos(name)} long")
+        labels = axis_labels(df, name)
+        labels = labels if ascending else labels[::-1]
+        coordinates[name] = (name, labels)
+        table = df.sparkSession.createDataFrame(pa.table({name: labels, pos(name): np.arange(len(labels))})).withColumn(name, F.col(name).cast(kind))
         out = out.join(F.broadcast(table) if len(labels) <= 500_000 else table, name)
     return FramedDF(out, Grid(transform, coordinates, intervals=intervals), tuple(carried), tuple(values))
 
@@ -517,16 +519,37 @@ def _select(df: DataFrame, dim: str, axis: Axis, key: Any) -> DataFrame:
     if len(index) and len(np.unique(index)) == len(index) and (np.diff(index) > 0).all() and len(index) <= 64:
         df = df.filter(p.isin([int(i) for i in index]))
         return df.withColumn(pos(dim), F.element_at(F.create_map(*[F.lit(int(x)) for k, i in enumerate(index) for x in (i, k)]), p).cast("long"))
-    table = df.sparkSession.createDataFrame([(int(i), k) for k, i in enumerate(index)], "old long, new long")
+    table = df.sparkSession.createDataFrame(pa.table({"old": np.asarray(index, np.int64), "new": np.arange(len(index))}))
     return df.join(F.broadcast(table) if len(index) <= 500_000 else table, p == F.col("old")).withColumn(pos(dim), F.col("new")).drop("old", "new")
 
 
 def _carried_isel(df: DataFrame, dim: str, key: Any) -> DataFrame:
-    labels = [r[0] for r in df.select(dim).distinct().sort(dim).collect()]
+    """Rows of the labels at the positions ``key`` in their order; only their number comes to the driver."""
+    labels = df.select(dim).distinct()
+    n = labels.count()
     if isinstance(key, int | np.integer):
-        return df.filter(F.col(dim).eqNullSafe(F.lit(labels[key]))).drop(dim)
-    wanted = [labels[i] for i in Axis(dim, dim, np.arange(len(labels))).indices(key)]
-    return df.filter(F.col(dim).isin(wanted))
+        if not -n <= key < n:
+            raise IndexError(f"{dim!r} has {n} labels")
+        one = labels.sort(dim).offset(int(key) % n).limit(1)
+        return df.join(F.broadcast(one.select(F.col(dim).alias("wanted"))), F.col(dim).eqNullSafe(F.col("wanted")), "left_semi").drop(dim)
+    if isinstance(key, slice):
+        start, stop, step = key.indices(n)
+        chosen = np.arange(start, stop, step)
+    else:
+        chosen = Axis(dim, dim, np.arange(n)).indices(key)
+    numbered = _numbered(labels, dim)
+    picked = df.sparkSession.createDataFrame(pa.table({"number": np.unique(np.asarray(chosen, np.int64))}))
+    wanted = numbered.join(picked, "number", "left_semi").select(F.col(dim).alias("wanted"))
+    return df.join(wanted, F.col(dim).eqNullSafe(F.col("wanted")), "left_semi")
+
+
+def _numbered(labels: DataFrame, dim: str) -> DataFrame:
+    """Distinct ``labels`` with their place in order: ranked in ranges, shifted by the ranges before."""
+    parts = labels.repartitionByRange(dim).withColumn("part", F.spark_partition_id())
+    ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy(dim)) - 1)
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return ranked.join(before, "part").select(dim, (F.col("rank") + F.col("before")).alias("number"))
 
 
 def _plain_axes(grid: Grid, table: DataFrame) -> dict[str, Axis]:
@@ -538,7 +561,7 @@ def _plain_axes(grid: Grid, table: DataFrame) -> dict[str, Axis]:
             own = grid.transform.source.units[grid.transform.source.axes.index(a.name)]
             if unit is not None and unit != own:
                 raise ValueError(f"coordinate {a.name!r} declares units = {unit!r}, the binding {own!r}")
-            out[a.name] = Axis(a.name, a.dim, np.array([r[0] for r in table.select(a.name).distinct().sort(a.name).collect()]))
+            out[a.name] = Axis(a.name, a.dim, axis_labels(table, a.name))
     return out
 
 

@@ -24,6 +24,7 @@ from framegrid.functions.transforms import AffineTransform, compose, coordinate_
 from framegrid.operators import tiles
 from framegrid.operators.boxes import box_resample
 from framegrid.operators.cubic import cubic_gather, filtered
+from framegrid.operators.labels import with_labels
 from framegrid.plans.declare import ROUNDING_ALLOWANCE, ArrayCoordinates, ReferenceFrame
 from framegrid.plans.grid import Grid, pos
 from framegrid.plans.periodic import Poles, longitude_of, poles_of
@@ -184,8 +185,9 @@ def is_same_grid(plan: Located) -> bool:
     return bool((np.abs(m - r) @ np.maximum(sizes - 1, 0) + np.abs(t - np.rint(t)) <= 1e-9).all())
 
 
-def _gathered(source: Grid, values: DataFrame) -> DataFrame:
-    return F.broadcast(values) if source.count() <= BROADCAST_ROWS else values
+def _gathered(source: Grid, values: DataFrame, carried: Sequence[str]) -> DataFrame:
+    """``values`` marked for broadcast where the grid bounds its rows; with labels it has a row for each."""
+    return F.broadcast(values) if source.count() <= BROADCAST_ROWS and not carried else values
 
 
 def resample(
@@ -229,12 +231,14 @@ def resample(
         )
     if return_coverage or support != "point":
         raise ValueError("coverage and average support belong to the box methods")
-    margin = 24 if method == CUBIC else 1
-    values = cropped(values.select(*[pos(d) for d in source.dims], *carried, *value_columns), reach(plan, margin))
+    margin = 1
+    values = values.select(*[pos(d) for d in source.dims], *carried, *value_columns)
+    # Cubic coefficients depend on whole lines, and the filter checks that none of their samples lacks.
+    values = values if method == CUBIC else cropped(values, reach(plan, margin))
     # The kernel works in double, which would not keep a copied bigint.
     exact = method == NEAREST and any(kinds[v] == "bigint" for v in value_columns)
     if tiles.fits(plan, method) and missing_rows == "nan" and not exact and not (method == CUBIC and any(n < 2 for n in source.sizes.values())):
-        coefficients = filtered(values, source.dims, carried, value_columns) if method == CUBIC else values
+        coefficients = filtered(values, source, carried, value_columns) if method == CUBIC else values
         out = tiles.tile_gather(plan, coefficients, value_columns, carried, method=method, fill_value=float(fill_value), domain=domain)
         made = [_typed(F.col(v), kinds[v], method, fill_value).alias(v) for v in value_columns]
         return out.select(*[pos(d) for d in target.dims], *carried, *made)
@@ -242,8 +246,7 @@ def resample(
     positions, inside = position_columns(plan, domain)
     frame = frame.withColumns({**{f"p_{d}": F.when(inside, c) for d, c in positions.items()}})
     if carried:
-        labels = values.select(*carried).distinct()
-        frame = frame.crossJoin(F.broadcast(labels)) if source.count() <= BROADCAST_ROWS else frame.crossJoin(labels)
+        frame = with_labels(frame, values, carried)
     if method == NEAREST or is_same_grid(plan):
         out = _nearest(plan, frame, values, value_columns, carried)
     elif method == LINEAR:
@@ -306,7 +309,7 @@ def _join(plan: Located, frame: DataFrame, values: DataFrame, carried: Sequence[
         on = on & (F.col(f"i_{d}") == F.col(f"s_{d}"))
     for c in carried:
         on = on & F.col(c).eqNullSafe(F.col(f"k_{c}"))
-    return frame.join(_gathered(plan.source, right), on, "left").drop(*[f"s_{d}" for d in plan.source.dims], *[f"k_{c}" for c in carried])
+    return frame.join(_gathered(plan.source, right, carried), on, "left").drop(*[f"s_{d}" for d in plan.source.dims], *[f"k_{c}" for c in carried])
 
 
 def _linear(plan: Located, frame: DataFrame, values: DataFrame, value_columns: Sequence[str], carried: Sequence[str]) -> DataFrame:

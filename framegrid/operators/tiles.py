@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framegrid.operators.labels import with_labels
 from framegrid.plans.declare import ROUNDING_ALLOWANCE
 from framegrid.plans.grid import pos
 
@@ -105,7 +106,7 @@ def tile_gather(plan: Any, values: DataFrame, value_columns: Sequence[str], carr
     sent = rows.withColumn("block", number).join(F.broadcast(needs) if n_tiles * 8 <= 200_000 else needs, "block").filter(inside)
     sent = sent.select("tile", *carried, *[pos(d) for d in source.dims], *value_columns)
     # Each tile and label has a row of its own, so that tiles without source rows are filled too.
-    frame = tiles.crossJoin(values.select(*carried).distinct()) if carried else tiles
+    frame = with_labels(tiles, values, carried) if carried else tiles
     empty = frame.select("tile", *carried, *[F.lit(-1).cast("long").alias(pos(d)) for d in source.dims], *[F.lit(None).cast("double").alias(v) for v in value_columns])
     out_schema = ", ".join([*[f"{pos(d)} long" for d in target.dims], *[f"{v} double" for v in value_columns]])
     kinds = {f.name: f.dataType.simpleString() for f in values.schema.fields}

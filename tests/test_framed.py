@@ -398,14 +398,41 @@ def test_rows_continue_across_the_pole(spark, lats, kind):
 
 def test_box_averages_of_unit_slabs():
     source = np.stack([np.arange(10.0), np.arange(10.0) + 1], 1)
-    rows, coverage = boxes.average_weights(source, np.array([[0, 5], [5, 10], [0.5, 2], [9.5, 11]]))
-    mean = lambda j: sum(w * i for t, i, w in rows if t == j)
+    rows = lambda w: list(zip(w.target.tolist(), w.source.tolist(), w.weight.tolist(), strict=True))
+    found = boxes.average_weights(source, np.array([[0, 5], [5, 10], [0.5, 2], [9.5, 11]]))
+    mean = lambda j: sum(w * i for t, i, w in rows(found) if t == j)
     assert (mean(0), mean(1)) == (2, 7) and mean(2) == pytest.approx(2 / 3)
-    np.testing.assert_allclose(coverage, [1, 1, 1, 1 / 3])
-    shared, _ = boxes.average_weights(np.array([[0.0, 2], [1, 3]]), np.array([[0.0, 3]]))
-    assert dict((i, w) for _, i, w in shared) == pytest.approx({0: 0.5, 1: 0.5})
-    at, c = boxes.point_weights(source, np.array([0.5, 3.0, 20.0]))
-    assert at == [(0, 0, 1.0), (1, 2, 0.5), (1, 3, 0.5)] and c.tolist() == [1, 1, 0]
+    np.testing.assert_allclose(found.coverage, [1, 1, 1, 1 / 3])
+    shared = boxes.average_weights(np.array([[0.0, 2], [1, 3]]), np.array([[0.0, 3]]))
+    assert dict((i, w) for _, i, w in rows(shared)) == pytest.approx({0: 0.5, 1: 0.5})
+    at = boxes.point_weights(source, np.array([0.5, 3.0, 20.0]))
+    assert rows(at) == [(0, 0, 1.0), (1, 2, 0.5), (1, 3, 0.5)] and at.coverage.tolist() == [1, 1, 0]
+
+
+def test_box_weights_equal_a_fine_sum():
+    """Against values sampled on a fine even line, for cells with gaps, overlaps and any order."""
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        cells = lambda n: np.sort(rng.integers(0, 40, (n, 2)), axis=1) + [0, 1]
+        source, target = cells(6).astype(float), cells(4).astype(float)
+        found, x = boxes.average_weights(source, target), np.arange(0.005, 41, 0.01)
+        held = (source[:, :1] <= x) & (x < source[:, 1:])
+        share = held / np.maximum(held.sum(0), 1)
+        for j, (lo, hi) in enumerate(target):
+            inside = (x >= lo) & (x < hi)
+            covered = inside & held.any(0)
+            got = np.zeros(6)
+            got[found.source[found.target == j]] = found.weight[found.target == j]
+            np.testing.assert_allclose(found.coverage[j], covered.sum() / inside.sum(), atol=1e-9)
+            np.testing.assert_allclose(got, share[:, covered].sum(1) / max(1, covered.sum()), atol=1e-9)
+
+
+def test_many_cells_need_no_loop():
+    n = 200_000
+    source = np.stack([np.arange(n), np.arange(n) + 1], 1).astype(float)
+    found = boxes.average_weights(source, source + 0.5)
+    assert len(found.weight) == 2 * n - 1 and abs(found.weight.sum() - n) < 1e-6
+    assert len(boxes.point_weights(source, source[:, 0] + 0.25).weight) == n
 
 
 def slabs(cells, name="s"):
