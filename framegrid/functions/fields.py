@@ -202,6 +202,7 @@ def field_map(points: DataFrame, nodes: DataFrame, grid: Grid, *, keys: Sequence
     is done follows from the number of nodes, which the grid states: up to ``array_nodes`` they become one
     row of arrays that is broadcast, and a point's nodes are picked by index, without a shuffle; up to
     ``broadcast_nodes`` the nodes are broadcast to a join; beyond that the join shuffles on node positions.
+    A node that a point needs and that has no row raises, whichever way is taken.
     """
     to_index, dims = _index_map(grid), grid.dims
     source = [F.col(a).cast("double") for a in grid.frame.axes]
@@ -237,8 +238,9 @@ def field_map(points: DataFrame, nodes: DataFrame, grid: Grid, *, keys: Sequence
     wide = frame.withColumn("tap", F.explode(F.filter(F.array(*taps), lambda t: t["w"] != 0)))
     wide = wide.select(*frame.columns, "tap.w", *[f"tap.i_{d}" for d in dims])
     right = nodes.select(*[F.col(pos(d)).alias(f"i_{d}") for d in dims], *[F.col(c).cast("double").alias(f"node_{k}") for k, c in enumerate(components)])
-    joined = wide.join(F.broadcast(right) if grid.count() <= broadcast_nodes else right, [f"i_{d}" for d in dims])
-    sums = [F.sum(F.col("w") * F.col(f"node_{k}")).alias(f"u_{k}") for k in range(len(components))]
+    joined = wide.join(F.broadcast(right) if grid.count() <= broadcast_nodes else right, [f"i_{d}" for d in dims], "left")
+    node = lambda k: F.when(F.col(f"node_{k}").isNull(), F.raise_error(F.lit("the field lacks nodes")).cast("double")).otherwise(F.col(f"node_{k}"))
+    sums = [F.sum(F.col("w") * node(k)).alias(f"u_{k}") for k in range(len(components))]
     places = [F.first(a).cast("double").alias(f"x_{k}") for k, a in enumerate(grid.frame.axes)]
     out = joined.groupBy(*keys).agg(*sums, *places, F.first("inside").alias("inside"))
     made = []

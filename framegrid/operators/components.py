@@ -14,7 +14,7 @@ from framegrid.functions.tensors import EastNorthUp, SymmetricPacking, TensorTyp
 from framegrid.functions.transforms import AffineTransform, columns_of, coordinate_system_change, jacobian_columns_of
 from framegrid.operators.framed import FramedDF
 from framegrid.operators.resample import relate, resample
-from framegrid.plans.declare import ReferenceFrame
+from framegrid.plans.declare import CARTESIAN, ReferenceFrame
 from framegrid.plans.grid import Grid, pos
 
 JACOBIAN, POLAR = "jacobian", "polar"
@@ -110,10 +110,24 @@ def declare_components(framed: FramedDF, column: str, kind: TensorType, *, basis
     return TensorDF(framed, ComponentDeclaration(column, kind, basis or framed.grid.frame, packing))
 
 
+def _pole_signs(basis: ReferenceFrame | EastNorthUp, frame: ReferenceFrame, size: int) -> list[float] | None:
+    """The factor of each component on the opposite meridian past a pole; None where the basis has no rule."""
+    if isinstance(basis, EastNorthUp):
+        return [-1.0, -1.0, *[1.0] * (size - 2)] if basis.base == frame else None
+    return [1.0] * size if basis.coordinate_system.representation == CARTESIAN else None
+
+
 def resample_components(values: DataFrame, source: Grid, target: Grid, *, column: str, size: int, kind: TensorType, carried: Sequence[str] = (), transform: Any = None,
-                        method: str = "linear", fill_value: float = float("nan"), reorientation: str | Any = JACOBIAN) -> DataFrame:
+                        method: str = "linear", fill_value: float = float("nan"), reorientation: str | Any = JACOBIAN,
+                        basis: ReferenceFrame | EastNorthUp | None = None) -> DataFrame:
     """Interpolate components in the source's basis, then carry them to the target's frame.
 
+    The basis is the source frame's own, or one given for a target in the source's frame, in which the
+    result is then written too. Across a pole the components of a Cartesian basis go on as they are; of
+    an east, north, up basis over the source's frame east and north are reversed on the opposite
+    meridian. A chart's own basis has no limit at a pole, so there no row goes on across it and targets
+    beyond the last row are filled.
+
     With T from target to source points the components change by L = (DT)^-1 at each target sample, or by
     its polar factor, or by what a function of the matrix returns. ``fill_value`` is NaN or 0, as any
     other constant would not survive the change.
@@ -126,12 +140,18 @@ def resample_components(values: DataFrame, source: Grid, target: Grid, *, column
     names = ["c_" + "_".join(map(str, i)) for i in index]
     cells = [F.col(column)[i[0]] if len(i) == 1 else F.col(column)[i[0]][i[1]] for i in index]
     wide = values.select(*[pos(d) for d in source.dims], *carried, *[c.alias(n) for c, n in zip(cells, names, strict=True)])
-    out = resample(wide, source, target, value_columns=names, carried=carried, transform=transform, method=method, fill_value=fill_value)
+    signs = _pole_signs(basis or source.frame, source.frame, size)
+    turned = [n for n, i in zip(names, index, strict=True) if signs is not None and np.prod([signs[k] for k in i]) < 0]
+    out = resample(wide, source, target, value_columns=names, carried=carried, transform=transform, method=method, fill_value=fill_value, poles=signs is not None, reversed_at_poles=turned)
     over = relate(target.frame, source.frame, transform)
-    if type(over) is AffineTransform:
+    if basis is not None and basis != source.frame:
+        if transform is not None or target.frame != source.frame:
+            raise ValueError("a basis of its own is kept within the source's frame; change the basis first")
+        matrix: Sequence[Sequence[Any]] = np.eye(size).tolist()
+    elif type(over) is AffineTransform:
         linear = np.linalg.inv(over.matrix)
         linear = linear if reorientation == JACOBIAN else polar_orthogonal_factor(linear) if reorientation == POLAR else np.asarray(reorientation(linear[None])[0], float)
-        matrix: Sequence[Sequence[Any]] = linear.tolist()
+        matrix = linear.tolist()
     else:
         points = columns_of(target.transform, [target.coordinate(target.axis(a)) for a in target.transform.source.axes])
         inverse = inverse_columns(jacobian_columns_of(over, points))

@@ -124,7 +124,7 @@ def cubic_gather(plan: Any, frame: DataFrame, values: DataFrame, value_columns:
             low = F.floor(F.col(f"p_{d}"))
             weight = weight * basis(F.col(f"p_{d}") - low)[k]
             at[d] = (low + (k - 1)).cast("long")
-        taps.append(F.struct(weight.alias("w"), *[c.alias(f"i_{d}") for d, c in source_indices(plan, at).items()]))
+        taps.append(F.struct(weight.alias("w"), *[c.alias(f"i_{d}") for d, c in source_indices(plan, at)[0].items()]))
     used = F.filter(F.array(*taps), lambda t: t["w"] != 0)
     wide = frame.withColumn("tap", F.explode_outer(used))
     wide = wide.select(*frame.columns, F.coalesce("tap.w", F.lit(0.0)).alias("w"), *[F.col(f"tap.i_{d}").alias(f"i_{d}") for d in dims])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 from enum import Enum
 from functools import reduce
 from typing import Any
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from framegrid.functions.tensors import det_columns
 from framegrid.functions.transforms import AffineTransform, columns_of, jacobian_columns_of
+from framegrid.operators.labels import numbered
 from framegrid.plans.grid import Grid, pos
 
 
@@ -85,16 +85,9 @@ def affine_class(affine: AffineTransform | np.ndarray, *, tolerance: float = 1e-
     return AffineClass.RIGID if abs(scale - 1) <= tolerance else AffineClass.SIMILARITY
 
 
-@dataclass(frozen=True)
-class AxisStatistics:
-    n: int
-    least_step: float
-    greatest_step: float
-    deviation: float
-
-
 def axis_statistics(df: DataFrame, coordinate: str) -> DataFrame:
-    """One row: count, ends, least and greatest step, and how far labels lie from an even spacing.
+    """One row: count, ends, least and greatest step, and ``deviation``, the greatest distance of a label
+    from its place on the even line between both ends (0 for up to two labels).
 
     For an axis too long for the driver: labels are deduplicated and ranked by range partitions, and
     steps across a partition's edge are found by carrying each partition's last label into the next.
@@ -124,10 +117,14 @@ def axis_statistics(df: DataFrame, coordinate: str) -> DataFrame:
     each = parts.mapInArrow(steps, "part int, first double, last double, n long, lo double, hi double")
     gap = F.col("first") - F.lag("last").over(Window.orderBy("part"))
     wide = each.withColumn("gap", gap)
-    return wide.agg(
+    ends = wide.agg(
         F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"),
         F.least(F.min("lo"), F.min("gap")).alias("least_step"), F.greatest(F.max("hi"), F.max("gap")).alias("greatest_step"),
     )
+    # One row beside each label: it is broadcast whatever the axis' length.
+    even = F.col("first") + F.col("number") * (F.col("last") - F.col("first")) / F.greatest(F.col("n") - 1, F.lit(1))
+    off = numbered(labels, "v").join(F.broadcast(ends.select("n", "first", "last")), F.lit(True)).agg(F.max(F.abs(F.col("v") - even)).alias("deviation"))
+    return ends.join(F.broadcast(off), F.lit(True))
 
 
 def first_failure(df: DataFrame, failed: Column, dims: Sequence[str]) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framegrid.functions.transforms import AffineTransform, compose, coordinate_system_change
-from framegrid.operators.labels import axis_labels, with_labels
+from framegrid.operators.labels import axis_labels, numbered, with_labels
 from framegrid.plans.declare import ReferenceFrame
 from framegrid.plans.grid import Grid, pos
 from framegrid.plans.sampling import Axis
@@ -537,21 +537,12 @@ def _carried_isel(df: DataFrame, dim: str, key: Any) -> DataFrame:
         chosen = np.arange(start, stop, step)
     else:
         chosen = Axis(dim, dim, np.arange(n)).indices(key)
-    numbered = _numbered(labels, dim)
+    order = numbered(labels, dim)
     picked = df.sparkSession.createDataFrame(pa.table({"number": np.unique(np.asarray(chosen, np.int64))}))
-    wanted = numbered.join(picked, "number", "left_semi").select(F.col(dim).alias("wanted"))
+    wanted = order.join(picked, "number", "left_semi").select(F.col(dim).alias("wanted"))
     return df.join(wanted, F.col(dim).eqNullSafe(F.col("wanted")), "left_semi")
 
 
-def _numbered(labels: DataFrame, dim: str) -> DataFrame:
-    """Distinct ``labels`` with their place in order: ranked in ranges, shifted by the ranges before."""
-    parts = labels.repartitionByRange(dim).withColumn("part", F.spark_partition_id())
-    ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy(dim)) - 1)
-    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    return ranked.join(before, "part").select(dim, (F.col("rank") + F.col("before")).alias("number"))
-
-
 def _plain_axes(grid: Grid, table: DataFrame) -> dict[str, Axis]:
     """The labels of a plain table along the source axes it has columns for."""
     out = {}

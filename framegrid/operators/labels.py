@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a product are dealt by so many parts of the labels.
@@ -34,3 +34,12 @@ def axis_labels(df: DataFrame, name: str) -> np.ndarray:
     if found.null_count:
         raise ValueError(f"coordinates of {name!r} hold null")
     return np.sort(found.to_numpy())
+
+
+def numbered(labels: DataFrame, name: str) -> DataFrame:
+    """(``name``, number): distinct labels with their place in order: ranked in ranges, shifted by the ranges before."""
+    parts = labels.select(name).repartitionByRange(name).withColumn("part", F.spark_partition_id())
+    ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy(name)) - 1)
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return ranked.join(before, "part").select(name, (F.col("rank") + F.col("before")).cast("long").alias("number"))

@@ -61,16 +61,19 @@ class Located:
     poles: Poles | None = None
 
 
-def locate(source: Grid, target: Grid, transform: Any = None) -> Located:
-    """Compose target coordinates -> target frame -> source frame -> source coordinates."""
+def locate(source: Grid, target: Grid, transform: Any = None, poles: bool = True) -> Located:
+    """Compose target coordinates -> target frame -> source frame -> source coordinates.
+
+    Without ``poles`` rows do not go on across a pole.
+    """
     if source.count() == 0:
         raise ValueError("the source has no sample")
     over = relate(target.frame, source.frame, transform)
     if not hasattr(source.transform, "inverse"):
         raise TypeError("the source's transform has no inverse")
     chain = compose(target.transform, over, source.transform.inverse())
-    poles = poles_of(source)
-    return Located(source, target, chain, None if poles else _lattice_map(chain, source, target), poles)
+    across = poles_of(source) if poles else None
+    return Located(source, target, chain, None if across else _lattice_map(chain, source, target), across)
 
 
 def _lattice_map(chain: Any, source: Grid, target: Grid) -> AffineTransform | None:
@@ -156,7 +159,7 @@ def reach(plan: Located, margin: int) -> dict[str, tuple[int, int]]:
     if plan.lattice is None:
         return {}
     ends = [(0, max(0, n - 1)) for n in (plan.target.sizes[d] for d in plan.target.dims)]
-    corners = np.array(list(itertools.product(*ends)), float).reshape(-1, len(ends))
+    corners = np.array(list(itertools.product(*ends)), float).reshape(1 << len(ends), len(ends))
     p = plan.lattice.transform_point(corners)
     out = {}
     for k, d in enumerate(plan.source.dims):
@@ -205,13 +208,16 @@ def resample(
     min_coverage: float = 0.5,
     return_coverage: bool = False,
     missing_rows: str = "nan",
+    poles: bool = True,
+    reversed_at_poles: Sequence[str] = (),
 ) -> DataFrame:
     """Values of the long-form table ``values`` (pos_*, carried, value columns) at ``target``'s samples.
 
     Returns pos_* of the target, the carried columns and the value columns. A target sample outside the
     source gets ``fill_value``; a value with more than rounding's weight on NaN is NaN. A source sample
     without a row counts as NaN (``missing_rows="nan"``), or raises where it is needed ("raise").
-    Every target sample has a row for each label of the carried dimensions.
+    Every target sample has a row for each label of the carried dimensions. Across a pole the row of the
+    opposite meridian follows, unless ``poles`` is false; values of ``reversed_at_poles`` change sign there.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
@@ -222,7 +228,7 @@ def resample(
         raise ValueError(f"columns {sorted(clash)} would collide with the target's")
     if missing := [c for c in (*[pos(d) for d in source.dims], *carried, *value_columns) if c not in values.columns]:
         raise ValueError(f"the source table lacks {missing}")
-    plan = locate(source, target, transform)
+    plan = locate(source, target, transform, poles)
     kinds = {f.name: f.dataType.simpleString() for f in values.schema.fields}
     if method in (STEP, OVERLAP_MEAN):
         return box_resample(
@@ -248,9 +254,9 @@ def resample(
     if carried:
         frame = with_labels(frame, values, carried)
     if method == NEAREST or is_same_grid(plan):
-        out = _nearest(plan, frame, values, value_columns, carried)
+        out = _nearest(plan, frame, values, value_columns, carried, reversed_at_poles)
     elif method == LINEAR:
-        out = _linear(plan, frame, values, value_columns, carried)
+        out = _linear(plan, frame, values, value_columns, carried, reversed_at_poles)
     else:
         out = cubic_gather(plan, frame, values, value_columns, carried)
     first = F.lit(True)
@@ -278,15 +284,19 @@ def _is_nan(x: Any) -> bool:
     return isinstance(x, float) and x != x
 
 
-def _nearest(plan: Located, frame: DataFrame, values: DataFrame, value_columns: Sequence[str], carried: Sequence[str]) -> DataFrame:
+def _nearest(plan: Located, frame: DataFrame, values: DataFrame, value_columns: Sequence[str], carried: Sequence[str], turned: Sequence[str] = ()) -> DataFrame:
     """Gather join on the nearest whole position; a half goes up."""
-    at = source_indices(plan, {d: F.floor(F.col(f"p_{d}") + F.lit(0.5)).cast("long") for d in plan.source.dims})
-    return _join(plan, frame.withColumns({f"i_{d}": c for d, c in at.items()}), values, carried)
+    at, crossed = source_indices(plan, {d: F.floor(F.col(f"p_{d}") + F.lit(0.5)).cast("long") for d in plan.source.dims})
+    joined = _join(plan, frame.withColumns({f"i_{d}": c for d, c in at.items()} | ({"crossed": crossed} if turned else {})), values, carried)
+    return joined.withColumns({v: F.when(F.col("crossed"), -F.col(v)).otherwise(F.col(v)) for v in turned}) if turned else joined
 
 
-def source_indices(plan: Located, index: Mapping[str, Column]) -> dict[str, Column]:
-    """Whole positions brought into the source: a longitude goes round, a row past a pole comes back opposite."""
-    out = {}
+def source_indices(plan: Located, index: Mapping[str, Column]) -> tuple[dict[str, Column], Column]:
+    """Whole positions brought into the source, and whether they lie past a pole.
+
+    A longitude goes round, a row past a pole comes back on the opposite meridian.
+    """
+    out, crossed = {}, F.lit(False)
     for d, k in index.items():
         axis = plan.source.axis_along(d)
         lon = longitude_of(plan.source, axis)
@@ -298,8 +308,8 @@ def source_indices(plan: Located, index: Mapping[str, Column]) -> dict[str, Colu
             out[d] = F.greatest(F.lit(0), F.least(k, F.lit(axis.size - 1)))
     if plan.poles is not None:
         lat, lon = plan.poles.latitude.dim, plan.poles.longitude.axis.dim
-        out[lat], out[lon], _ = plan.poles.fold(out[lat], out[lon])
-    return out
+        out[lat], out[lon], crossed = plan.poles.fold(out[lat], out[lon])
+    return out, crossed
 
 
 def _join(plan: Located, frame: DataFrame, values: DataFrame, carried: Sequence[str]) -> DataFrame:
@@ -312,23 +322,25 @@ def _join(plan: Located, frame: DataFrame, values: DataFrame, carried: Sequence[
     return frame.join(_gathered(plan.source, right, carried), on, "left").drop(*[f"s_{d}" for d in plan.source.dims], *[f"k_{c}" for c in carried])
 
 
-def _linear(plan: Located, frame: DataFrame, values: DataFrame, value_columns: Sequence[str], carried: Sequence[str]) -> DataFrame:
+def _linear(plan: Located, frame: DataFrame, values: DataFrame, value_columns: Sequence[str], carried: Sequence[str], turned: Sequence[str] = ()) -> DataFrame:
     """Corner join: at most 2**d weighted rows per target sample, summed by map-side aggregation."""
     dims = plan.source.dims
     corners = F.array(*[F.struct(*_corner(plan, dims, bits)) for bits in itertools.product((0, 1), repeat=len(dims))])
     used = F.filter(corners, lambda c: c["w"] > 0)
     wide = frame.withColumn("corner", F.explode_outer(used))
-    wide = wide.select(*frame.columns, F.coalesce("corner.w", F.lit(0.0)).alias("w"), *[F.col(f"corner.i_{d}").alias(f"i_{d}") for d in dims])
-    return weighted_sum(_join(plan, wide, values, carried), plan, frame, value_columns, carried)
+    turns = [F.col("corner.crossed").alias("crossed")] if turned else []
+    wide = wide.select(*frame.columns, F.coalesce("corner.w", F.lit(0.0)).alias("w"), *[F.col(f"corner.i_{d}").alias(f"i_{d}") for d in dims], *turns)
+    return weighted_sum(_join(plan, wide, values, carried), plan, frame, value_columns, carried, turned)
 
 
-def weighted_sum(joined: DataFrame, plan: Located, frame: DataFrame, value_columns: Sequence[str], carried: Sequence[str]) -> DataFrame:
+def weighted_sum(joined: DataFrame, plan: Located, frame: DataFrame, value_columns: Sequence[str], carried: Sequence[str], turned: Sequence[str] = ()) -> DataFrame:
     """Sum of w * v with NaN and absent values as zero, or NaN if they have more than rounding's weight."""
     keys = [pos(d) for d in plan.target.dims]
     sums = []
     for v in value_columns:
         x = F.col(v).cast("double")
         gone = x.isNull() | F.isnan(x)
+        x = F.when(F.col("crossed"), -x).otherwise(x) if v in turned else x
         sums.append(F.sum(F.when(gone, F.lit(0.0)).otherwise(F.col("w") * x)).alias(f"sum_{v}"))
         sums.append(F.sum(F.when(gone, F.abs(F.col("w"))).otherwise(F.lit(0.0))).alias(f"gone_{v}"))
     places = [F.first(f"p_{d}").alias(f"p_{d}") for d in plan.source.dims]
@@ -347,4 +359,5 @@ def _corner(plan: Located, dims: Sequence[str], bits: Sequence[int]) -> list[Col
         f = p - low
         weight = weight * (f if b else F.lit(1.0) - f)
         at[d] = (low + b).cast("long")
-    return [weight.alias("w"), *[c.alias(f"i_{d}") for d, c in source_indices(plan, at).items()]]
+    found, crossed = source_indices(plan, at)
+    return [weight.alias("w"), *[c.alias(f"i_{d}") for d, c in found.items()], crossed.alias("crossed")]

@@ -103,6 +103,27 @@ def resample_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("pos_u", "pos_v", F.round("value", 4).alias("value"))
 
 
+def _prefilter_sql(n: int, name: str) -> str:
+    """The spline's filter along a line of n mirrored samples as a matrix: (c[k-1] + 4 c[k] + c[k+1]) / 6 = v[k]."""
+    m = (np.eye(n) * 4 + np.eye(n, k=1) + np.eye(n, k=-1)) / 6
+    m[0, 0] = m[-1, -1] = 5 / 6
+    rows = ", ".join("[" + ", ".join(f"{x!r}" for x in row) + "]" for row in np.linalg.inv(m).tolist())
+    return f"{name} as (select a.range as i, b.range as k, ([{rows}]::double[][])[a.range + 1][b.range + 1] as m from range({n}) a, range({n}) b)"
+
+
+def _cubic_sql() -> str:
+    return f"""
+with {SURFACE_SQL}, {_oblique_sql()}, {_prefilter_sql(50, "fq")}, {_prefilter_sql(11, "fd")},
+cq as (select fq.i as pos_q, pos_d, sum(m * value) as value from fq join cells on cells.pos_q = fq.k group by 1, 2),
+cc as (select pos_q, fd.i as pos_d, sum(m * value) as value from fd join cq on cq.pos_d = fd.k group by 1, 2),
+placed as (select *, p >= -1e-9 and p <= 49 + 1e-9 and r >= -1e-9 and r <= 10 + 1e-9 as inside, least(greatest(p, 0), 49) as cp, least(greatest(r, 0), 10) as cr from target),
+b as (select *, floor(cp) as i, floor(cr) as j, {_basis_sql("(cp - floor(cp))")} as bp, {_basis_sql("(cr - floor(cr))")} as br from placed),
+s as (select pos_u, pos_v, any_value(inside) as inside, sum(bp[s.range + 1] * br[t.range + 1] * value) as v from b, range(4) s, range(4) t, cc
+  where cc.pos_q = least(greatest(i - 1 + s.range, 0), 49) and cc.pos_d = least(greatest(j - 1 + t.range, 0), 10) group by 1, 2)
+select pos_u, pos_v, round(case when inside then v else {FILL} end, 4) as value from s
+"""
+
+
 NEAREST_SQL = f"""
 with {SURFACE_SQL}, {_oblique_sql()}
 select pos_u, pos_v, round(case when p >= -1e-9 and p <= 49 + 1e-9 and r >= -1e-9 and r <= 10 + 1e-9 then value else {FILL} end, 4) as value
@@ -734,16 +755,18 @@ select count(*) as n, round(max(d), 6) as maximum, round(sqrt(avg(d * d)), 6) as
 def axis_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count, ends and least and greatest step of a long axis, without bringing it to the driver."""
     days = F.expr("datediff(cast(o_orderdate as date), date '1992-01-01')").cast("double")
-    return axis_statistics(read(spark, sf_dir, "orders").select(days.alias("day")), "day")
+    return axis_statistics(read(spark, sf_dir, "orders").select(days.alias("day")), "day").withColumn("deviation", F.round("deviation", 6))
 
 
 AXIS_SQL = """
 with d as (select distinct date_diff('day', date '1992-01-01', cast(o_orderdate as date))::double as v from orders), s as (select v, v - lag(v) over (order by v) as step from d)
-select count(*) as n, min(v) as first, max(v) as last, min(step) as least_step, max(step) as greatest_step from s
+, e as (select count(*) as n, min(v) as first, max(v) as last, min(step) as least_step, max(step) as greatest_step from s),
+r as (select v, row_number() over (order by v) - 1 as k from d)
+select n, first, last, least_step, greatest_step, round((select max(abs(v - (first + k * (last - first) / (n - 1)))) from r), 6) as deviation from e
 """
 
 _ALL: list[tuple[Callable[[SparkSession, str], DataFrame], str | None]] = [
-    (resample_linear_2d, _linear_sql()), (resample_cells, _linear_sql(before=0.5)), (resample_nearest, NEAREST_SQL), (resample_cubic, None),
+    (resample_linear_2d, _linear_sql()), (resample_cells, _linear_sql(before=0.5)), (resample_nearest, NEAREST_SQL), (resample_cubic, _cubic_sql()),
     (resample_field, _field_sql()),
     (same_grid_gather, SAME_GRID_SQL), (resample_missing, MISSING_SQL), (resample_carried, CARRIED_SQL), (affine_map, AFFINE_SQL), (system_change, SYSTEM_SQL),
     (grid_points, GRID_POINTS_SQL), (positions_at_uniform, _uniform_sql()), (positions_at_nonuniform, NONUNIFORM_SQL), (points_at, POINTS_AT_SQL),
@@ -755,12 +778,18 @@ _ALL: list[tuple[Callable[[SparkSession, str], DataFrame], str | None]] = [
 ]
 
 
+def _every() -> list[tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
+    from framegrid import format_queries, space_queries
+
+    return [*_ALL, *space_queries.ALL, *format_queries.ALL]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f, _ in _ALL}
+    return {f.__name__: f for f, _ in _every()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {f.__name__: sql for f, sql in _ALL if sql is not None}
+    return {f.__name__: sql for f, sql in _every() if sql is not None}
 
 
 __all__ = ["oracle_sql", "pos", "queries"]

@@ -34,10 +34,6 @@ def test_query_equals_its_sql(spark, sf_dir, con, name):
         assert all(same(x, y) for x, y in zip(a[c], b[c], strict=True)), c
 
 
-def test_cubic_query_runs(spark, sf_dir):
-    assert queries.queries()["resample_cubic"](spark, sf_dir).count() == 320
-
-
 def test_entry_module(spark):
     import __spark_entry__
 
