@@ -8,8 +8,9 @@ around them on integer positions and the weighted nodes are summed.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -18,13 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framegrid.functions.transforms import AffineTransform, checked
+from framegrid.functions.transforms import AffineTransform, Steps, checked
 from framegrid.operators.cubic import basis
 from framegrid.plans.declare import Endpoint
 from framegrid.plans.grid import Grid, pos
 
 DISPLACEMENT, BSPLINE, POSITION = "displacement", "bspline", "position"
 EXTERIORS = ("raise", "identity", "nearest")
+#: Up to so many taps of a point are written out in generated code; more would pass what the JVM compiles.
+UNROLLED_TAPS = 16
 #: Nodes held as an array may take so many bytes at most.
 MAX_ARRAY_BYTES = 256 << 20
 
@@ -132,6 +135,62 @@ class FieldTransform:
             out = out + w[..., None] * self.values[tuple(i + t for i, t in zip(first, taps, strict=True))].astype(float)
         return out
 
+    def axis_weights(self, k: int, p: np.ndarray) -> tuple[int, np.ndarray]:
+        """(first node, weights of the nodes from it on) along node axis ``k`` for each clipped index of ``p``."""
+        n = list(self.grid.sizes.values())[k]
+        if self.kind == BSPLINE:
+            i = np.clip(np.floor(p), 1, n - 3).astype(np.int64)
+            taps, first = _basis(p - i), i - 1
+        else:
+            i = np.clip(np.floor(p), 0, max(n - 2, 0)).astype(np.int64)
+            f = p - i
+            taps, first = (np.stack([1 - f, f], -1) if n > 1 else np.ones((len(p), 1))), i
+        low = int(first.min())
+        out = np.zeros((len(p), int(first.max()) - low + taps.shape[-1]))
+        rows = np.arange(len(p))
+        for t in range(taps.shape[-1]):
+            out[rows, first - low + t] += taps[:, t]
+        return low, out
+
+    def on_box(self, index: Sequence[np.ndarray], matrix: np.ndarray, nodes_at: Callable[[Sequence[np.ndarray]], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(values, inside) for all i in the product of ``index``, whose node positions ``nodes_at`` gives.
+
+        They grow as ``matrix`` i, up to rounding. Where each node axis follows one index alone, its weights are a small matrix and the box is
+        contracted axis by axis, with 4 + 4 + 4 instead of 4 * 4 * 4 products for a cubic field.
+        """
+        support, sizes = _support(self.grid, self.kind), list(self.grid.sizes.values())
+        shape = tuple(len(x) for x in index)
+        own = [np.flatnonzero(np.abs(row) > 1e-14 * np.abs(matrix).max()) for row in matrix]
+        apart = all(len(x) == 1 for x in own) and len({int(x[0]) for x in own}) == len(own) == len(index)
+        closed = self.closed or self.kind == POSITION
+
+        def clipped(k: int, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            lo, hi = support[k]
+            within = (p >= lo) & ((p <= hi) if closed else (p < hi))
+            a, b = (lo, hi) if self.kind == BSPLINE else (0.0, sizes[k] - 1.0)
+            return np.clip(p, a, b), within
+
+        inside = np.ones(shape, bool)
+        if not apart:
+            p = nodes_at([g.ravel() for g in np.meshgrid(*index, indexing="ij")])
+            found = [clipped(k, p[:, k]) for k in range(p.shape[1])]
+            return self._sum(np.stack([at for at, _ in found], -1)), np.all([within for _, within in found], axis=0)
+        box, order = self.values, [int(x[0]) for x in own]
+        parts = []
+        for k, j in enumerate(order):
+            along = [index[j] if n == j else np.full(len(index[j]), x[0]) for n, x in enumerate(index)]
+            at, within = clipped(k, nodes_at(along)[:, k])
+            inside &= within.reshape([-1 if n == j else 1 for n in range(len(shape))])
+            low, weights = self.axis_weights(k, at)
+            parts.append(weights)
+            box = np.take(box, np.arange(low, low + weights.shape[1]), axis=k)
+        out = box.astype(float)
+        for w in parts:  # the first axis is contracted and goes to the end, behind the components
+            out = np.tensordot(out, w, axes=(0, 1))
+        # now (component, node axes in order); put them in the order of the index
+        out = np.moveaxis(out, 0, -1).transpose([*np.argsort(order).tolist(), len(order)])
+        return out.reshape(-1, out.shape[-1]), inside.ravel()
+
     def masked_columns(self, cols: Sequence[Column]) -> tuple[list[Column], Column]:
         """Target coordinates and whether the point is supported; an unsupported point is returned unchanged."""
         n, field = len(self.target.axes), replace(self, exterior="identity") if self.exterior == "raise" else self
@@ -233,6 +292,8 @@ def field_map(points: DataFrame, nodes: DataFrame, grid: Grid, *, keys: Sequence
             at.append(i.cast("long").alias(f"i_{d}"))
         taps.append(F.struct(w.alias("w"), *at))
     names = target_axes or grid.frame.axes
+    if grid.count() <= array_nodes and len(taps) <= UNROLLED_TAPS and min(grid.sizes.values()) > 1:
+        return _unrolled(frame, nodes, grid, keys, components, kind, exterior, names)
     if grid.count() <= array_nodes:
         return _picked(frame, nodes, grid, taps, keys, components, kind, exterior, names)
     wide = frame.withColumn("tap", F.explode(F.filter(F.array(*taps), lambda t: t["w"] != 0)))
@@ -252,8 +313,40 @@ def field_map(points: DataFrame, nodes: DataFrame, grid: Grid, *, keys: Sequence
     return out.select(*keys, *made, "inside")
 
 
-def _picked(frame: DataFrame, nodes: DataFrame, grid: Grid, taps: list[Column], keys: Sequence[str], components: Sequence[str], kind: str, exterior: str, names: Sequence[str]) -> DataFrame:
-    """``field_map`` with the nodes in one broadcast row: an array of each component in grid order."""
+def _unrolled(frame: DataFrame, nodes: DataFrame, grid: Grid, keys: Sequence[str], components: Sequence[str], kind: str, exterior: str, names: Sequence[str]) -> DataFrame:
+    """``field_map`` with the nodes in one broadcast row and the taps written out in generated code.
+
+    The lower node and the weights along each dimension are columns, shared by all components; a tap's
+    node lies a fixed number of places behind the lowest.
+    """
+    table, dims = _node_arrays(nodes, grid, components), list(grid.dims)
+    steps = Steps(frame.join(F.broadcast(table), F.lit(True)))
+    number, weights = F.lit(1), []
+    for d in dims:
+        n, p = grid.sizes[d], F.col(f"p_{d}")
+        low, high = (1.0, n - 3.0) if kind == BSPLINE else (0.0, n - 2.0)
+        i = steps.one(F.greatest(F.lit(low), F.least(F.floor(p).cast("double"), F.lit(high))))
+        f = steps.one(p - i)
+        weights.append(steps.keep(*(basis(f) if kind == BSPLINE else [F.lit(1.0) - f, f])))
+        number = number + (i.cast("int") - (1 if kind == BSPLINE else 0)) * F.lit(int(np.prod([grid.sizes[e] for e in dims[dims.index(d) + 1 :]], dtype=np.int64)))
+    first = steps.one(number)
+    strides = [int(np.prod([grid.sizes[e] for e in dims[k + 1 :]], dtype=np.int64)) for k in range(len(dims))]
+    taps = list(itertools.product(*[range(len(w)) for w in weights]))
+    products = steps.keep(*[reduce(lambda a, b: a * b, (w[t] for w, t in zip(weights, tap, strict=True))) for tap in taps])
+    places = [first + F.lit(sum(t * s for t, s in zip(tap, strides, strict=True))) for tap in taps]
+    made = []
+    for k, a in enumerate(names):
+        total = reduce(lambda x, y: x + y, (w * F.element_at(F.col(f"nodes_{k}"), at) for w, at in zip(products, places, strict=True)))
+        x = F.col(grid.frame.axes[k]).cast("double") if k < len(grid.frame.axes) else F.lit(0.0)
+        value = total if kind == POSITION else x + total
+        if exterior == "identity":
+            value = F.when(F.col("inside"), value).otherwise(x)
+        made.append(checked(value, "a field result").alias(a))
+    return steps.df.select(*keys, *made, "inside")
+
+
+def _node_arrays(nodes: DataFrame, grid: Grid, components: Sequence[str]) -> DataFrame:
+    """One row: an array of each component in grid order; a grid with missing nodes raises."""
     number: Column = F.lit(0).cast("long")
     for d in grid.dims:
         number = number * grid.sizes[d] + F.col(pos(d))
@@ -262,7 +355,12 @@ def _picked(frame: DataFrame, nodes: DataFrame, grid: Grid, taps: list[Column],
     table = own.agg(rows.alias("rows"))
     sound = (F.size("rows") == grid.count()) & (F.element_at("rows", -1)["n"] == grid.count() - 1)
     whole = F.when(sound, F.col("rows")).otherwise(F.raise_error(F.lit("the field lacks nodes")).cast(table.schema["rows"].dataType))
-    table = table.select(*[_component(whole, k).alias(f"nodes_{k}") for k in range(len(components))])
+    return table.select(*[_component(whole, k).alias(f"nodes_{k}") for k in range(len(components))])
+
+
+def _picked(frame: DataFrame, nodes: DataFrame, grid: Grid, taps: list[Column], keys: Sequence[str], components: Sequence[str], kind: str, exterior: str, names: Sequence[str]) -> DataFrame:
+    """``field_map`` with the nodes in one broadcast row, picked by index tap after tap."""
+    table = _node_arrays(nodes, grid, components)
     placed = frame.withColumn("taps", F.array(*taps)).crossJoin(F.broadcast(table))
     made = []
     for k, a in enumerate(names):

@@ -14,13 +14,15 @@ from __future__ import annotations
 import itertools
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framegrid.functions.transforms import AffineTransform, compose, coordinate_system_change, identity, masked_columns_of
+from framegrid.functions.fields import POSITION, FieldTransform
+from framegrid.functions.transforms import AffineTransform, CompositeTransform, compose, coordinate_system_change, identity, masked_columns_of
 from framegrid.operators import tiles
 from framegrid.operators.boxes import box_resample
 from framegrid.operators.cubic import cubic_gather, filtered
@@ -59,6 +61,7 @@ class Located:
     chain: Any
     lattice: AffineTransform | None
     poles: Poles | None = None
+    bent: BentMap | None = None
 
 
 def locate(source: Grid, target: Grid, transform: Any = None, poles: bool = True) -> Located:
@@ -73,43 +76,106 @@ def locate(source: Grid, target: Grid, transform: Any = None, poles: bool = True
         raise TypeError("the source's transform has no inverse")
     chain = compose(target.transform, over, source.transform.inverse())
     across = poles_of(source) if poles else None
-    return Located(source, target, chain, None if across else _lattice_map(chain, source, target), across)
+    if across:
+        return Located(source, target, chain, None, across)
+    return Located(source, target, chain, _lattice_map(chain, source, target), None, _bent_map(chain, source, target))
 
 
-def _lattice_map(chain: Any, source: Grid, target: Grid) -> AffineTransform | None:
-    """One affine map from whole target positions to source positions, where all axes are even."""
-    if type(chain) is not AffineTransform:
-        return None
-    m, t = chain.matrix.copy(), chain.translation.copy()
-    columns = []
-    for name in chain.source.axes:
-        axis = target.axis(name)
+def _from_positions(t: AffineTransform, grid: Grid) -> tuple[np.ndarray, np.ndarray] | None:
+    """(matrix, shift) from whole positions of ``grid`` to the points of ``t``; None where an axis is uneven."""
+    shift, by_dim = t.translation.copy(), {}
+    for k, name in enumerate(t.source.axes):
+        axis = grid.axis(name)
         step = axis.step if axis.size > 1 else 0.0
         if axis.dim is not None and axis.size > 0 and step is None:
             return None
-        k = chain.source.axes.index(name)
-        start = float(axis.flat[0]) if axis.size else 0.0
-        t = t + m[:, k] * start
+        shift = shift + t.matrix[:, k] * (float(axis.flat[0]) if axis.size else 0.0)
         if axis.dim is not None:
-            columns.append((axis.dim, m[:, k] * (step or 0.0)))
-    rows = []
-    for k, name in enumerate(chain.target.axes):
-        axis = source.axis(name)
-        if axis.dim is None:
-            continue
+            by_dim[axis.dim] = t.matrix[:, k] * (step or 0.0)
+    return np.array([by_dim[d] for d in grid.dims]).reshape(len(grid.dims), len(shift)).T, shift
+
+
+def _to_positions(grid: Grid, axes: Sequence[str]) -> tuple[np.ndarray, np.ndarray] | None:
+    """(matrix, shift) from coordinates along ``axes`` to positions by dimension; None where an axis is uneven,
+    goes round or has no dimension."""
+    matrix, shift = np.zeros((len(grid.dims), len(axes))), np.zeros(len(grid.dims))
+    if any(a.dim is None for a in grid.axes):
+        return None
+    for k, name in enumerate(axes):
+        axis = grid.axis(name)
         step = uniform_step(axis.flat, EXACT_STEP_TOLERANCE)
-        if step is None or longitude_of(source, axis) is not None:
+        if step is None or longitude_of(grid, axis) is not None:
             return None
-        rows.append((axis.dim, [c[k] / step for _, c in columns], (t[k] - float(axis.flat[0])) / step))
-    by_dim = dict(columns)
-    if any(a.dim is None for a in source.axes):
+        n = grid.dims.index(axis.dim)
+        matrix[n, k], shift[n] = 1 / step, -float(axis.flat[0]) / step
+    return matrix, shift
+
+
+def _lattice_map(chain: Any, source: Grid, target: Grid) -> AffineTransform | None:
+    """One affine map from whole target positions to source positions, where all axes are even."""
+    if type(chain) is not AffineTransform:
+        return None
+    start, end = _from_positions(chain, target), _to_positions(source, chain.target.axes)
+    if start is None or end is None:
+        return None
+    a, b = (ArrayCoordinates(list(g.dims), [None] * len(g.dims)) for g in (target, source))
+    return AffineTransform.from_matrix(end[0] @ start[0], source=a, target=b, translation=end[0] @ start[1] + end[1])
+
+
+@dataclass(frozen=True)
+class BentMap:
+    """Source positions of whole target positions i through a field of nodes: M i + s + P u(A i + a).
+
+    ``u`` are the field's values at the node positions A i + a, where A is ``to_node``. A displacement
+    field adds them to the point; a position field's are the point, so M is zero.
+    """
+
+    field: FieldTransform
+    matrix: np.ndarray
+    shift: np.ndarray
+    push: np.ndarray
+    to_node: np.ndarray
+    before: AffineTransform
+    coordinates: tuple[tuple[int | None, np.ndarray], ...]
+
+    def nodes_at(self, index: Sequence[np.ndarray]) -> np.ndarray:
+        """Node positions of target positions, rounded as the columns of ``before`` are, so that a point on
+        the edge of the field's support falls on the same side in every plan."""
+        cols = [np.full(len(index[0]), values[0]) if k is None else values[index[k]] for k, values in self.coordinates]
+        points = []
+        for row, t in zip(self.before.matrix, self.before.translation, strict=True):
+            terms = [c if m == 1 else c * m for m, c in zip(row, cols, strict=True) if m != 0]
+            terms += [np.full(len(index[0]), t)] if t != 0 or not terms else []
+            points.append(reduce(lambda a, b: a + b, terms))
+        return self.field._to_index.transform_point(np.stack(points, -1))
+
+    def spread(self) -> tuple[np.ndarray, np.ndarray]:
+        """The least and greatest P u by source dimension: weights are not negative and sum to 1."""
+        flat = self.field.values.reshape(-1, self.field.values.shape[-1]).astype(float)
+        ends = np.stack([self.push * flat.min(0), self.push * flat.max(0)])
+        low, high = ends.min(0).sum(1), ends.max(0).sum(1)
+        return (np.minimum(low, 0), np.maximum(high, 0)) if self.field.exterior == "identity" else (low, high)
+
+
+def _bent_map(chain: Any, source: Grid, target: Grid) -> BentMap | None:
+    """The chain as a BentMap if it is one field with affine maps around it and all axes are even."""
+    members = list(chain.transforms) if isinstance(chain, CompositeTransform) else [chain]
+    fields = [k for k, t in enumerate(members) if isinstance(t, FieldTransform)]
+    if len(fields) != 1 or len(members) != 3 or fields != [1] or any(type(t) is not AffineTransform for t in (members[0], members[2])):
+        return None
+    before, field, after = members
+    if field.kind == POSITION and field.exterior == "identity":
+        return None
+    start, end = _from_positions(before, target), _to_positions(source, after.target.axes)
+    if start is None or end is None or not target.dims:
         return None
-    order = [list(dict(columns)).index(d) for d in target.dims] if by_dim else []
-    rows.sort(key=lambda r: source.dims.index(r[0]))
-    a = ArrayCoordinates(list(target.dims), [None] * len(target.dims))
-    b = ArrayCoordinates(list(source.dims), [None] * len(source.dims))
-    matrix = np.array([[r[1][i] for i in order] for r in rows]).reshape(len(rows), len(order))
-    return AffineTransform.from_matrix(matrix, source=a, target=b, translation=[r[2] for r in rows])
+    push = end[0] @ after.matrix
+    shift = end[0] @ after.translation + end[1]
+    moved = np.zeros((len(source.dims), len(target.dims))) if field.kind == POSITION else push @ start[0]
+    shift = shift if field.kind == POSITION else shift + push @ start[1]
+    axes = [target.axis(name) for name in before.source.axes]
+    coordinates = tuple((None if a.dim is None else target.dims.index(a.dim), a.flat.astype(float)) for a in axes)
+    return BentMap(field, moved, shift, push, field._to_index.matrix @ start[0], before, coordinates)
 
 
 def position_columns(plan: Located, domain: str) -> tuple[dict[str, Column], Column]:

@@ -1,4 +1,4 @@
-"""Resampling by tiles: the strategy for large targets under an affine index map.
+"""Resampling by tiles: the strategy for large targets under an affine index map, or one bent by a field.
 
 The target is cut into tiles. For each tile the box of source positions it can need follows from the map,
 so source rows are sent, once for each tile that reads them, to where the tile is made, and one NumPy
@@ -6,6 +6,9 @@ kernel call fills the whole tile. Target samples are never shuffled or joined: o
 most a small multiple of their number. Tiles are sized so that both a tile and its source box stay
 within CELLS, which bounds the memory of a task whatever the grids' sizes.
 
+A field's displacements are bounded by those of its nodes, since its weights are not negative and sum to
+1, so the box of a tile is known without evaluating it; the kernel then evaluates field and source at once.
+
 Which tiles read which rows is itself a join: source positions fall into blocks, and each tile lists the
 blocks that its box touches. Both lists are made on the executors from ranges of numbers.
 """
@@ -31,12 +34,15 @@ CELLS = 1 << 17
 MIN_TARGET = 50_000
 
 
-def tile_sides(matrix: np.ndarray, sizes: Sequence[int], margin: int) -> list[int]:
-    """Sides of a tile, halved along its longest until tile and source box fit CELLS."""
+def tile_sides(matrix: np.ndarray, sizes: Sequence[int], margin: int, spread: np.ndarray | float = 0.0) -> list[int]:
+    """Sides of a tile, halved along its longest until tile and source box fit CELLS.
+
+    ``spread`` is how much wider a field makes the box; a box that it alone makes larger stays so.
+    """
     sides = [max(1, int(n)) for n in sizes]
 
     def box() -> float:
-        reach = np.abs(matrix) @ (np.array(sides, float) - 1) + 2 * margin + 2
+        reach = np.abs(matrix) @ (np.array(sides, float) - 1) + 2 * margin + 2 + spread
         return float(np.prod(reach))
 
     while (np.prod(sides, dtype=float) > CELLS or box() > CELLS) and max(sides) > 1:
@@ -47,12 +53,21 @@ def tile_sides(matrix: np.ndarray, sizes: Sequence[int], margin: int) -> list[in
 
 def fits(plan: Any, method: str) -> bool:
     """Whether tiles apply: an affine index map, source dimensions alone, and a target worth a kernel."""
-    if plan.lattice is None or plan.target.count() < MIN_TARGET or not plan.source.dims:
+    if plan.lattice is None and plan.bent is None or plan.target.count() < MIN_TARGET or not plan.source.dims:
         return False
-    sides = tile_sides(plan.lattice.matrix, [plan.target.sizes[d] for d in plan.target.dims], _margin(method))
+    matrix, _, low, high = _index_map(plan)
+    sides = tile_sides(matrix, [plan.target.sizes[d] for d in plan.target.dims], _margin(method), high - low)
     return np.prod(sides) >= 64
 
 
+def _index_map(plan: Any) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(matrix, shift, low, high): source positions are matrix i + shift and between low and high more."""
+    if plan.lattice is not None:
+        none = np.zeros(len(plan.source.dims))
+        return plan.lattice.matrix, plan.lattice.translation, none, none
+    return plan.bent.matrix, plan.bent.shift, *plan.bent.spread()
+
+
 def _margin(method: str) -> int:
     return 2 if method == "cubic" else 1
 
@@ -60,14 +75,14 @@ def _margin(method: str) -> int:
 def tile_gather(plan: Any, values: DataFrame, value_columns: Sequence[str], carried: Sequence[str], *, method: str, fill_value: float, domain: str) -> DataFrame:
     """pos_* of the target, the carried columns and double value columns."""
     spark, source, target = values.sparkSession, plan.source, plan.target
-    matrix, shift = plan.lattice.matrix, plan.lattice.translation
+    matrix, shift, below, above = _index_map(plan)
     sizes = [target.sizes[d] for d in target.dims]
     margin = _margin(method)
-    sides = tile_sides(matrix, sizes, margin)
+    sides = tile_sides(matrix, sizes, margin, above - below)
     counts = [-(-n // s) for n, s in zip(sizes, sides, strict=True)]
     n_tiles = int(np.prod(counts, dtype=object))
     shape = [source.sizes[d] for d in source.dims]
-    reach = np.abs(matrix) @ (np.array(sides, float) - 1)
+    reach = np.abs(matrix) @ (np.array(sides, float) - 1) + (above - below)
     block = [int(max(1, min(n, np.ceil(r + 2 * margin + 2)))) for n, r in zip(shape, reach, strict=True)]
 
     # Tiles with the corners of their boxes, as columns of a range.
@@ -78,8 +93,8 @@ def tile_gather(plan: Any, values: DataFrame, value_columns: Sequence[str], carr
         inner *= c
     lows, highs = [], []
     for k, d in enumerate(source.dims):
-        low: Column = F.lit(float(shift[k]))
-        high: Column = F.lit(float(shift[k]))
+        low: Column = F.lit(float(shift[k] + below[k]))
+        high: Column = F.lit(float(shift[k] + above[k]))
         for j in range(len(sizes)):
             a, m = starts[j].cast("double"), float(matrix[k, j])
             b = F.least(a + (sides[j] - 1), F.lit(float(sizes[j] - 1)))
@@ -113,11 +128,17 @@ def tile_gather(plan: Any, values: DataFrame, value_columns: Sequence[str], carr
     if carried:
         out_schema += ", " + ", ".join(f"`{c}` {kinds[c]}" for c in carried)
     kernel = _kernel(matrix, shift, sizes, sides, counts, shape, [source.axis_along(d).extent(domain) for d in source.dims], method, margin,
-                     fill_value, [pos(d) for d in source.dims], [pos(d) for d in target.dims], tuple(value_columns), tuple(carried))
+                     fill_value, [pos(d) for d in source.dims], [pos(d) for d in target.dims], tuple(value_columns), tuple(carried),
+                     _shared(spark, plan.bent) if plan.lattice is None else None)
     return sent.union(empty).groupBy("tile", *carried).applyInArrow(kernel, out_schema)
 
 
-def _kernel(matrix, shift, sizes, sides, counts, shape, extents, method, margin, fill, source_cols, target_cols, value_columns, carried):
+def _shared(spark: Any, bent: Any) -> Any:
+    """The field's map for the workers; its nodes are within the bound of an array field."""
+    return spark.sparkContext.broadcast(bent)
+
+
+def _kernel(matrix, shift, sizes, sides, counts, shape, extents, method, margin, fill, source_cols, target_cols, value_columns, carried, bent=None):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         tile = key[0].as_py()
         index = []
@@ -128,6 +149,14 @@ def _kernel(matrix, shift, sizes, sides, counts, shape, extents, method, margin,
         flat = [g.ravel() for g in grid]
         places = [sum((m * i for m, i in zip(row, flat, strict=True)), np.zeros(len(flat[0]))) + t for row, t in zip(matrix, shift, strict=True)]
         inside, clipped = np.ones(len(flat[0]), bool), []
+        if bent is not None:
+            field = bent.value.field
+            u, held = field.on_box(index, bent.value.to_node, bent.value.nodes_at)
+            if field.exterior == "identity":
+                u = np.where(held[:, None], u, 0.0)
+            elif field.exterior == "raise":
+                inside &= held
+            places = [x + u @ row for x, row in zip(places, bent.value.push, strict=True)]
         for p, n, (before, after) in zip(places, shape, extents, strict=True):
             inside &= (p >= -before - 1e-9) & (p <= n - 1 + after + 1e-9)
             clipped.append(np.clip(p, 0, n - 1))

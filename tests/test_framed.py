@@ -508,3 +508,36 @@ def test_coincidence_report(spark):
     a = g.to_df(spark, points=True)
     row = coincidence(a, a.withColumn("X", F.col("X") + 0.25), g).first()
     assert (row["n"], row["maximum"]) == (12, 0.25)
+
+
+# Fields in tiles ---------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("kind", ["displacement", "bspline", "position"])
+@pytest.mark.parametrize("turned", [False, True])
+def test_tiles_through_a_field_equal_joins(spark, monkeypatch, kind, turned):
+    """One kernel for field and source against the general plan, for every exterior."""
+    from framegrid.functions.fields import BSplineTransform, DisplacementFieldTransform, PositionFieldTransform
+    from framegrid.operators import tiles
+
+    rng = np.random.default_rng(3)
+    plane = ReferenceFrame.declared("t", "a", CoordinateSystem(("x", "y"), ("1", "1")))
+    moved = ReferenceFrame.declared("t", "b", CoordinateSystem(("x", "y"), ("1", "1")))
+    even = lambda m, t, to, names: AffineTransform.from_matrix(m, source=ArrayCoordinates(names, ("1", "1"), sample_offset=(0.5, 0.5)), target=to, translation=t)
+    source = Grid(even(np.diag([1.0, 0.5]), [0, 0], plane, ("i", "j")), {"i": ("i", np.arange(20)), "j": ("j", np.arange(30))})
+    values = source.to_df(spark, coordinates=False).withColumn("value", F.sin(F.col("pos_i") * 1.7) + F.cos(F.col("pos_j") * 0.9))
+    nodes = Grid(even(np.diag([3.0, 4.0]), [-1, 0.5], moved, ("a", "b")), {"a": ("a", np.arange(8)), "b": ("b", np.arange(5))})
+    m = [[0.31, 0.07], [-0.05, 0.22]] if turned else [[0.0, 0.31], [0.22, 0.0]]
+    target = Grid(even(np.array(m), [-2, -1], moved, ("u", "v")), {"u": ("u", np.arange(70)), "v": ("v", np.arange(60))})
+    make = {"displacement": DisplacementFieldTransform, "bspline": BSplineTransform, "position": PositionFieldTransform}[kind]
+    given = rng.normal(size=(8, 5, 2)) + (np.stack(np.meshgrid(np.arange(8.0) * 2, np.arange(5.0) * 3, indexing="ij"), -1) if kind == "position" else 0)
+    for exterior in ("raise",) if kind == "position" else ("raise", "identity", "nearest"):
+        field = make(nodes, given, target=plane, exterior=exterior)
+        for method in ("linear", "nearest") if exterior == "identity" else ("linear",):
+            both = []
+            for least in (1, 1 << 40):
+                monkeypatch.setattr(tiles, "MIN_TARGET", least)
+                out = resample(values, source, target, transform=field, method=method, fill_value=-9.0)
+                both.append(array_of(out, target))
+            np.testing.assert_allclose(both[0], both[1], atol=1e-9)
+            assert (both[0] != -9).sum() > 200
