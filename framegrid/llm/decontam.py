@@ -231,7 +231,9 @@ def contamination(
     ends with equal words and of whose words at least ``identity`` are equal. Null and empty texts
     overlap with nothing; null ids are passed on; repeated rows give repeated results; items with the
     same text each get their row. Every overlap is found, also with an item of one word, which is met
-    wherever that word stands.
+    wherever that word stands. Of equally good overlaps with an item the first diagonal's counts, and the
+    first run on it. Texts of any length are read whole; empty tables give an empty result; further
+    columns are not read. A block holds whole items, so an item longer than ``block_words`` is a block.
     """
     spark, out = docs.sparkSession, None
     schema = "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_match long"
@@ -262,7 +264,10 @@ def drop_contaminated(
     identity: float = MIN_IDENTITY,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """``docs`` without the rows whose text overlaps with an item, all columns kept, no shuffle."""
+    """``docs`` without the rows whose text overlaps with an item, all columns kept, no shuffle.
+
+    Null, empty and repeated rows are judged each by its own text; columns of any name pass through.
+    """
     spark, at = docs.sparkSession, docs.columns.index("text")
     for block in _blocks(benchmark, "item_id", "text", block_words):
         shared = spark.sparkContext.broadcast(Index(block, min_words, identity))

@@ -142,7 +142,8 @@ def scan(docs: DataFrame, of: list[Pattern] | None = None) -> DataFrame:
     """(doc_id, n_words, hits): one row per row of ``docs``; hits are the places of all patterns.
 
     Each hit has label, first_word, last_word, edits, score and base. Null and empty texts have no word
-    and no hit; repeated rows are scanned alike; a null id is passed on; further columns are not read.
+    and no hit; repeated rows are scanned alike; a null id is passed on; a text of any length is scanned
+    whole; an empty table gives an empty result; further columns are not read.
     """
     of = patterns() if of is None else of
     kind = pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("edits", pa.int64()), ("score", pa.float64()), ("base", pa.bool_())])

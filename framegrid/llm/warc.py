@@ -159,7 +159,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYT
 
     A null html is an empty payload, a null url ``about:blank``. Of rows that repeat the least page id of
     a payload each is a response; rows with a null id refer to a payload's least id if there is one.
-    One archive is written for each task; an empty table gives no record. Further columns are not read.
+    A payload of any length is one record. One archive is written for each task; an empty table gives no
+    record. Further columns are not read.
     """
     frames = map_batches(with_references(pages, min_bytes), _frames(training_bytes), "value binary")
     frames.select(F.col("value").cast("string").alias("value")).write.mode("overwrite").option("lineSep", EMPTY_FRAME).option("compression", "none").text(path)

@@ -238,3 +238,26 @@ def test_shards(spark):
     assert (by[None]["size"], by[None]["text_crc32"], by[-5]["size"], by[-5]["text_crc32"]) == (1, 0, 3, zlib.crc32("é".encode()))
     assert max(Counter(r["shard"] for r in got).values()) < 110
     assert sharding.shard(docs.limit(0), 16).count() == 0
+
+
+def test_every_planted_notice_is_found_also_beside_others():
+    """Notices with up to the allowed edits, back to back or apart, in any number; and no label that none is for."""
+    rng = random.Random(21)
+    scanner = licenses.Scanner(licenses.patterns())
+    fuzzy = [p for p in licenses.patterns() if not p.base]
+    for _ in range(150):
+        words, planted = [], []
+        for _ in range(rng.randint(1, 4)):
+            words += ["".join(rng.choice("qxzvw") for _ in range(5)) for _ in range(rng.randint(0, 3))]
+            p = rng.choice(fuzzy)
+            inner = list(p.text.strip())
+            places = [k for k, c in enumerate(inner) if c != " "]
+            for k in rng.sample(places, rng.randint(0, p.edits)):
+                inner[k] = rng.choice("qxzvw")
+            planted.append((p.label, len(words)))
+            words += "".join(inner).split(" ")
+        n, hits = scanner.hits(" ".join(words).encode())
+        assert n == len(words)
+        found = {(h.label, h.first_word) for h in hits}
+        for label, at in planted:
+            assert any(x == label and abs(y - at) <= 1 for x, y in found), (planted, sorted(found), words)

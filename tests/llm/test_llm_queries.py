@@ -66,3 +66,44 @@ def test_a_sessions_own_batch_size_is_left_alone(spark):
         assert spark.conf.get(key) == "500"
     finally:
         spark.conf.set(key, before)
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, framegrid_stat_n_words long, fp string"
+
+
+def odd_documents(spark, sf_dir):
+    """Null ids and texts, empty, wordless, repeated, tied and very long rows, and columns with clashing names."""
+    own = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    long = " ".join(f"word{i % 4099} is one of {i} in a line," for i in range(40_000))
+    rows = [*own, *own[:5], (None, own[7][1], None), (None, None, "en"), (900, None, None), (901, "", "en"), (902, " \n ", "en"), (903, "...", None), (904, long, "en"), (904, own[9][1], "en")]
+    return spark.createDataFrame([(i, t, x, None, None, 1, "clash") for i, t, x in rows], DOCS)
+
+
+@pytest.mark.parametrize("rows", ["odd", "empty"])
+def test_pipeline_takes_odd_rows_and_empty_tables(spark, sf_dir, tmp_path, rows):
+    docs = odd_documents(spark, sf_dir)
+    docs = docs if rows == "odd" else docs.limit(0)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    n = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert out.count() <= n
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert (len(packed) > 0) == (rows == "odd")
+    assert all(0 < r["length"] <= 2048 for r in packed)
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op1_warc", "op3_html"}))
+def test_operators_take_odd_rows(spark, sf_dir, tmp_path, name):
+    docs = odd_documents(spark, sf_dir)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    got = QUERIES[name](spark, str(tmp_path)).collect()
+    if name not in ("op2_decontamination", "op5_packing"):
+        assert len(got) == docs.count()
+    if name == "op5_packing":
+        assert sum(r["start"] == 0 for r in got) == docs.count()
