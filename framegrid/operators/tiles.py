@@ -110,7 +110,9 @@ def tile_gather(plan: Any, values: DataFrame, value_columns: Sequence[str], carr
     needs = needs.withColumn("block", part).drop(*[f"b_{d}" for d in source.dims])
 
     number: Column = F.lit(0).cast("long")
+    cell: Column = F.lit(0).cast("long")
     for k, d in enumerate(source.dims):
+        cell = cell * shape[k] + F.col(pos(d))
         per = -(-shape[k] // block[k])
         number = number * per + F.expr(f"{pos(d)} div {block[k]}L")
     rows = values.select(*[pos(d) for d in source.dims], *carried, *[F.col(v).cast("double").alias(v) for v in value_columns])
@@ -119,16 +121,17 @@ def tile_gather(plan: Any, values: DataFrame, value_columns: Sequence[str], carr
         inside = inside & F.col(pos(d)).between(F.col(f"lo_{d}"), F.col(f"hi_{d}"))
     # The tile list is small beside the rows; it is broadcast while its size, known from the grids, allows.
     sent = rows.withColumn("block", number).join(F.broadcast(needs) if n_tiles * 8 <= 200_000 else needs, "block").filter(inside)
-    sent = sent.select("tile", *carried, *[pos(d) for d in source.dims], *value_columns)
+    # A position is sent as one number; the kernel takes it apart.
+    sent = sent.select("tile", *carried, cell.alias("cell"), *value_columns)
     # Each tile and label has a row of its own, so that tiles without source rows are filled too.
     frame = with_labels(tiles, values, carried) if carried else tiles
-    empty = frame.select("tile", *carried, *[F.lit(-1).cast("long").alias(pos(d)) for d in source.dims], *[F.lit(None).cast("double").alias(v) for v in value_columns])
+    empty = frame.select("tile", *carried, F.lit(-1).cast("long").alias("cell"), *[F.lit(None).cast("double").alias(v) for v in value_columns])
     out_schema = ", ".join([*[f"{pos(d)} long" for d in target.dims], *[f"{v} double" for v in value_columns]])
     kinds = {f.name: f.dataType.simpleString() for f in values.schema.fields}
     if carried:
         out_schema += ", " + ", ".join(f"`{c}` {kinds[c]}" for c in carried)
     kernel = _kernel(matrix, shift, sizes, sides, counts, shape, [source.axis_along(d).extent(domain) for d in source.dims], method, margin,
-                     fill_value, [pos(d) for d in source.dims], [pos(d) for d in target.dims], tuple(value_columns), tuple(carried),
+                     fill_value, [pos(d) for d in target.dims], tuple(value_columns), tuple(carried),
                      _shared(spark, plan.bent) if plan.lattice is None else None)
     return sent.union(empty).groupBy("tile", *carried).applyInArrow(kernel, out_schema)
 
@@ -138,7 +141,7 @@ def _shared(spark: Any, bent: Any) -> Any:
     return spark.sparkContext.broadcast(bent)
 
 
-def _kernel(matrix, shift, sizes, sides, counts, shape, extents, method, margin, fill, source_cols, target_cols, value_columns, carried, bent=None):
+def _kernel(matrix, shift, sizes, sides, counts, shape, extents, method, margin, fill, target_cols, value_columns, carried, bent=None):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         tile = key[0].as_py()
         index = []
@@ -163,8 +166,9 @@ def _kernel(matrix, shift, sizes, sides, counts, shape, extents, method, margin,
         low = [max(0, int(np.floor(c.min())) - margin) for c in clipped]
         high = [min(n - 1, int(np.ceil(c.max())) + margin) for c, n in zip(clipped, shape, strict=True)]
         local = [h - lo + 1 for lo, h in zip(low, high, strict=True)]
-        got = [table.column(c).to_numpy() for c in source_cols]
-        use = np.ones(len(table), bool)
+        number = table.column("cell").to_numpy()
+        use = number >= 0
+        got = np.unravel_index(np.where(use, number, 0), shape)
         for g, lo, h in zip(got, low, high, strict=True):
             use &= (g >= lo) & (g <= h)
         cell = np.zeros(int(use.sum()), np.int64)

@@ -35,7 +35,8 @@ def sample_at(points: DataFrame, framed: FramedDF, *, columns: Sequence[str] | N
     dims = grid.dims
     out = points.withColumns({f"p_{d}": F.greatest(F.lit(0.0), F.least(c, F.lit(float(grid.sizes[d] - 1)))) for d, c in at.items()} | {"outside": F.isnan(next(iter(at.values())))})
     table = framed.df.select(*[F.col(pos(d)).alias(f"s_{d}") for d in dims], *values)
-    table = F.broadcast(table) if grid.count() <= broadcast_rows else table
+    # A table with carried labels has a row for each, a number that the grid does not bound.
+    table = F.broadcast(table) if grid.count() <= broadcast_rows and not framed.carried else table
     parts: list[tuple[Any, str]] = []
     for k, bits in enumerate(itertools.product((0, 1), repeat=len(dims)) if method == "linear" else [()]):
         weight, on = F.lit(1.0), F.lit(True)
