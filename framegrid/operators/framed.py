@@ -441,13 +441,15 @@ class FramedDF:
         return self._with(self.df, Grid.of(t, self.grid.axes, self.grid.dims))
 
     def resample_to(self, target: Grid | FramedDF, **options: Any) -> FramedDF:
-        """Values on another grid; see ``resample``."""
-        from framegrid.operators.resample import resample
+        """Values on another grid; see ``resample``. Cells are those the result can claim; see ``claimed_intervals``."""
+        from framegrid.operators.claims import claimed_grid
+        from framegrid.operators.resample import relate, resample
 
         grid = target.grid if isinstance(target, FramedDF) else target
         if clash := set(self.values) & {a.name for a in grid.axes}:
             raise ValueError(f"columns {sorted(clash)} would collide with the target's coordinates")
         out = resample(self.df, self.grid, grid, value_columns=self.values, carried=self.carried, **options)
+        grid = claimed_grid(self.grid, grid, relate(grid.frame, self.grid.frame, options.get("transform")), options.get("support", "point"))
         return FramedDF(out.withColumns({a.name: grid.coordinate(a) for a in grid.axes}), grid, self.carried, self.values)
 
     def frame_coordinates(self, names: Sequence[str] | None = None, prefix: str = "") -> FramedDF:
