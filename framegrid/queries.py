@@ -779,9 +779,9 @@ _ALL: list[tuple[Callable[[SparkSession, str], DataFrame], str | None]] = [
 
 
 def _every() -> list[tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
-    from framegrid import format_queries, space_queries
+    from framegrid import file_queries, format_queries, space_queries
 
-    return [*_ALL, *space_queries.ALL, *format_queries.ALL]
+    return [*_ALL, *space_queries.ALL, *format_queries.ALL, *file_queries.ALL]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

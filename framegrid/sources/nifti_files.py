@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 
 from framegrid.operators.framed import FramedDF, frame_table
 from framegrid.plans.grid import pos
-from framegrid.sources.blocks import File, block_rows, checked_window, read_whole
+from framegrid.sources.blocks import File, block_rows, checked_window, read_whole, write_whole
 from framegrid.sources.headers import build_nifti_header, nifti_grid, nifti_header, parse_nifti_header
 
 # Data type codes of the format (fixed values).
@@ -97,5 +97,4 @@ def write_nifti(framed: FramedDF, path: str, *, max_voxels: int = 1 << 27) -> No
     head = bytearray(build_nifti_header(nifti_header(grid)))
     head[70:74] = np.array([64, 64], "<i2").tobytes()
     head[108:120] = np.array([352, 1, 0], "<f4").tobytes()
-    with open(path, "wb") as f:
-        f.write(bytes(head) + b"\0" * 4 + out.transpose().astype("<f8").tobytes())
+    write_whole(path, bytes(head) + b"\0" * 4 + out.transpose().astype("<f8").tobytes())
