@@ -247,3 +247,18 @@ class EastNorthUp:
     def inverse_matrix(self, columns: Sequence[Column]) -> list[list[Column]]:
         m = self.matrix(columns)
         return [[m[b][a] for b in range(3)] for a in range(3)]
+
+    def directions(self, columns: Sequence[Column]) -> list[list[Column]]:
+        """Unit vectors in the Earth-centred axes, a column for each of east, north and, where the base has
+        a third axis, up; defined at the poles too."""
+        return [row[: len(self.base.axes)] for row in self.inverse_matrix(columns)]
+
+    def matches(self, transition: Any) -> bool:
+        """Whether a chart transition runs between the base and Earth-centred axes; a geodetic base has no
+        ellipsoid of its own, so any fits."""
+        from framegrid.functions.transforms import CartesianToGeodetic, CartesianToSpherical, GeodeticToCartesian, SphericalToCartesian
+
+        spherical = self.base.coordinate_system.representation == "spherical"
+        if isinstance(transition, SphericalToCartesian if spherical else GeodeticToCartesian):
+            return transition.source == self.base
+        return isinstance(transition, CartesianToSpherical if spherical else CartesianToGeodetic) and transition.target == self.base

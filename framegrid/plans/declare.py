@@ -250,9 +250,10 @@ class ReferenceFrame:
         return cls((LOCAL_NAMESPACE, identifier or uuid.uuid4().hex), coordinate_system, _items(definition), _items(context), role, _items(display))
 
     @classmethod
-    def anonymous(cls, coordinate_system: CoordinateSystem, *, identifier: str | None = None, role: str | None = None, display: Metadata | None = None) -> ReferenceFrame:
+    def anonymous(cls, coordinate_system: CoordinateSystem, *, identifier: str | None = None, role: str | None = None,
+                  definition: Metadata | None = None, display: Metadata | None = None) -> ReferenceFrame:
         """Geometry without a known identity: equal to nothing but itself."""
-        return cls((ANONYMOUS_NAMESPACE, identifier or uuid.uuid4().hex), coordinate_system, (), (), role, _items(display))
+        return cls((ANONYMOUS_NAMESPACE, identifier or uuid.uuid4().hex), coordinate_system, _items(definition), (), role, _items(display))
 
     def __post_init__(self) -> None:
         if not isinstance(self.coordinate_system, CoordinateSystem):

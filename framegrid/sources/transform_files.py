@@ -5,6 +5,7 @@ Both kinds of file state a map from fixed to moving points, in LPS millimetres.
 
 from __future__ import annotations
 
+import gzip
 import math
 import re
 from collections.abc import Mapping, Sequence
@@ -13,10 +14,11 @@ from typing import Any
 
 import numpy as np
 
-from framegrid.functions.fields import BSplineTransform
+from framegrid.functions.fields import BSplineTransform, DisplacementFieldTransform
 from framegrid.functions.transforms import AffineTransform, DeclaredInversePair, compose
 from framegrid.plans.declare import ArrayCoordinates, CoordinateSystem, ReferenceFrame
 from framegrid.plans.grid import Grid
+from framegrid.sources.blocks import read_whole
 
 
 def check_space(frame: ReferenceFrame, n: int) -> None:
@@ -110,6 +112,8 @@ def itk_transform(text: str, *, fixed: ReferenceFrame, moving: ReferenceFrame, i
     parts = parse_itk_text(text)
     if parts[0][0].startswith("CompositeTransform"):
         parts = parts[1:][::-1]
+    elif len(parts) > 1:
+        raise ValueError("several transforms without a composite have no stated order")
     if not parts:
         raise ValueError("a composite without members")
     frames = stage_frames(fixed, moving, len(parts), intermediate_frames)
@@ -126,12 +130,12 @@ def itk_transform(text: str, *, fixed: ReferenceFrame, moving: ReferenceFrame, i
     return compose(*made)
 
 
-def _node_grid(sizes: Sequence[int], origin: Any, spacing: Any, direction: Any, frame: ReferenceFrame) -> Grid:
+def _node_grid(sizes: Sequence[int], origin: Any, spacing: Any, direction: Any, frame: ReferenceFrame, offset: float | None = None) -> Grid:
     """Nodes by their array dimensions, last axis first, so values reshape from a file's x-fastest order."""
     n = len(sizes)
     names = [f"n{k}" for k in range(n)]
     m = np.asarray(direction, float).reshape(n, n) * np.asarray(spacing, float)
-    t = AffineTransform.from_matrix(m, source=ArrayCoordinates(names, ["1"] * n), target=frame, translation=origin)
+    t = AffineTransform.from_matrix(m, source=ArrayCoordinates(names, ["1"] * n, sample_offset=[offset] * n), target=frame, translation=origin)
     return Grid(t, {names[k]: (names[k], np.arange(sizes[k])) for k in range(n)}, dims=names[::-1])
 
 
@@ -142,10 +146,76 @@ def _itk_bspline(p: list[float], f: list[float], n: int, source: ReferenceFrame,
     return BSplineTransform(grid, np.moveaxis(values, 0, -1), target=target, exterior="identity")
 
 
+# Number types of the MATLAB level 4 format (fixed values).
+_MAT_TYPES = {0: "f8", 1: "f4", 2: "i4", 3: "i2", 4: "u2", 5: "u1"}
+
+
+def parse_mat(data: bytes) -> dict[str, np.ndarray]:
+    """The full real matrices of a MATLAB level 4 file, by name, each as one run of values."""
+    out, at = {}, 0
+    while at < len(data):
+        order = "<" if int.from_bytes(data[at : at + 4], "little") < 5000 else ">"
+        if len(data) < at + 20:
+            raise ValueError("not a MATLAB level 4 file")
+        kind, rows, columns, imaginary, length = np.frombuffer(data, f"{order}i4", 5, at).tolist()
+        machine, other, number, shape = kind // 1000, kind // 100 % 10, kind // 10 % 10, kind % 10
+        if machine != (order == ">") or other or number not in _MAT_TYPES or shape or imaginary or length < 1 or min(rows, columns) < 0:
+            raise ValueError("not a MATLAB level 4 file of full real matrices")
+        dtype, start = np.dtype(f"{order}{_MAT_TYPES[number]}"), at + 20 + length
+        if len(data) < start + rows * columns * dtype.itemsize:
+            raise ValueError("the file ends within a matrix")
+        out[data[at + 20 : start - 1].decode("latin-1")] = np.frombuffer(data, dtype, rows * columns, start).astype(float)
+        at = start + rows * columns * dtype.itemsize
+    return out
+
+
+def itk_mat_transform(data: bytes, *, fixed: ReferenceFrame, moving: ReferenceFrame) -> AffineTransform:
+    """The linear map of a ``.mat`` file, which holds its parameters by type and ``fixed``."""
+    found = parse_mat(data)
+    kinds = [k for k in found if k != "fixed"]
+    if len(kinds) != 1 or "fixed" not in found or not all(np.isfinite(v).all() for v in found.values()):
+        raise ValueError("a file holds one transform and its fixed parameters, all finite")
+    name, size = kinds[0].partition("_")[0], re.search(r"_(\d+)_\d+$", kinds[0])
+    n = int(size[1]) if size else len(fixed.axes)
+    check_space(fixed, n)
+    check_space(moving, n)
+    return _linear(name, found[kinds[0]].tolist(), found["fixed"].tolist(), fixed, moving)
+
+
+def displacement_image(data: bytes, *, fixed: ReferenceFrame, moving: ReferenceFrame) -> Any:
+    """The field of a NIfTI image of vectors: x + u(x), nothing moved outside its cells. Vectors are in
+    LPS, the header's points in RAS."""
+    from framegrid.sources.headers import nifti_grid
+    from framegrid.sources.nifti_files import voxels
+
+    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+    v, nodes = voxels(data), nifti_grid(data[:352], spatial_unit="mm").transform
+    n = len(v) if v.ndim == 5 else 0
+    if n not in (2, 3) or v.shape[1] != 1 or n == 2 and v.shape[2] != 1:
+        raise ValueError("an image of displacements has sizes x, y, z, 1, 3 or x, y, 1, 1, 2")
+    check_space(fixed, n)
+    check_space(moving, n)
+    turn = np.array([-1.0, -1.0, 1.0])
+    m, origin = nodes.matrix * turn[:, None], nodes.translation * turn
+    if n == 2 and (np.abs(m[2, :2]).max() > 1e-6 or np.abs(m[:2, 2]).max() > 1e-6):
+        raise ValueError("a plane of displacements lies across the axes")
+    sizes = v.shape[::-1][:n]
+    grid = _node_grid(sizes, origin[:n], [1.0] * n, m[:n, :n], fixed, 0.5)
+    return DisplacementFieldTransform(grid, np.moveaxis(v.reshape(n, *sizes[::-1]), 0, -1), target=moving, exterior="identity")
+
+
 def read_itk_transform(path: str, **options: Any) -> Any:
-    if Path(path).suffix.lower() not in (".tfm", ".txt"):
-        raise ValueError("only text transform files are read here; convert .mat, .h5 and image files first")
-    return itk_transform(Path(path).read_text(), **options)
+    """A text, ``.mat`` or NIfTI transform file; HDF5 files need a reader that is not here."""
+    data = read_whole(path)
+    if data is None:
+        raise FileNotFoundError(path)
+    if path.lower().endswith((".tfm", ".txt")):
+        return itk_transform(data.decode(), **options)
+    if path.lower().endswith(".mat"):
+        return itk_mat_transform(data, **options)
+    if path.lower().endswith((".nii", ".nii.gz")):
+        return displacement_image(data, **options)
+    raise ValueError("transform files are .tfm, .txt, .mat, .nii or .nii.gz; convert others first")
 
 
 # Parameter files ---------------------------------------------------------------------------------------
