@@ -372,6 +372,31 @@ def geotiff_grid(profile: Mapping[str, Any], *, area_or_point: str = "Area") ->
 
 
 _CF_ROLES = {"longitude": ("degrees_east", "degree_east", "degrees_E", "degree_E"), "latitude": ("degrees_north", "degree_north", "degrees_N", "degree_N")}
+_PLAIN_DEGREES, _RADIANS = ("degree", "degrees", "deg"), ("radian", "radians", "rad")
+
+
+def cf_figure(mapping: Mapping[str, Any] | None) -> dict[str, float] | None:
+    """The figure of the Earth that a grid mapping's attributes state; None if they state none. An inverse
+    flattening of 0 is a sphere."""
+    if mapping is None:
+        return None
+    if mapping.get("grid_mapping_name") != "latitude_longitude":
+        raise ValueError(f"grid mapping {mapping.get('grid_mapping_name')!r} is not latitude_longitude")
+    given = {k: float(mapping[k]) for k in ("longitude_of_prime_meridian", "earth_radius", "semi_major_axis", "semi_minor_axis", "inverse_flattening") if k in mapping}
+    if given.pop("longitude_of_prime_meridian", 0.0) != 0:
+        raise ValueError("longitudes count from another meridian")
+    if not all(math.isfinite(v) and v >= 0 for v in given.values()):
+        raise ValueError("a figure has finite lengths")
+    a, b, inverse = given.get("semi_major_axis"), given.get("semi_minor_axis"), given.get("inverse_flattening")
+    if a is None:
+        return {"semi_major_axis": given["earth_radius"], "inverse_flattening": 0.0} if "earth_radius" in given else None
+    if b is not None and b > a:
+        raise ValueError("the minor axis is the longer")
+    if inverse is None:
+        inverse = 0.0 if b is None or b == a else a / (a - b)
+    elif b is not None and abs(a - (a / inverse if inverse else 0.0) - b) > 1e-6 * a:
+        raise ValueError("the axes and the flattening disagree")
+    return {"semi_major_axis": a, "inverse_flattening": inverse}
 
 
 def cf_grid(coordinates: Mapping[str, Mapping[str, Any]], *, frame: ReferenceFrame | None = None, figure: Mapping[str, float] | None = None) -> Grid:
@@ -386,6 +411,8 @@ def cf_grid(coordinates: Mapping[str, Mapping[str, Any]], *, frame: ReferenceFra
         for role, units in _CF_ROLES.items():
             west = unit in (("degrees_west", "degree_west") if role == "longitude" else ("degrees_south", "degree_south"))
             if c.get("standard_name") == role or unit in units or west:
+                if not west and unit not in (*units, *_PLAIN_DEGREES, *_RADIANS):
+                    raise ValueError(f"{name!r} is a {role} in {unit!r}")
                 if role in found:
                     raise ValueError(f"two coordinates are a {role}")
                 found[role] = (name, -1.0 if west else 1.0)
@@ -393,7 +420,9 @@ def cf_grid(coordinates: Mapping[str, Mapping[str, Any]], *, frame: ReferenceFra
         raise ValueError("a longitude and a latitude are needed")
     kind = "geodetic" if figure and figure.get("inverse_flattening") else "spherical"
     if frame is None:
-        frame = ReferenceFrame.anonymous(CoordinateSystem(("longitude", "latitude"), ("degrees_east", "degrees_north"), representation=kind, axis_roles=("longitude", "latitude")))
+        own = ["rad" if coordinates[found[r][0]].get("units") in _RADIANS else u for r, u in (("longitude", "degrees_east"), ("latitude", "degrees_north"))]
+        system = CoordinateSystem(("longitude", "latitude"), own, representation=kind, axis_roles=("longitude", "latitude"))
+        frame = ReferenceFrame.anonymous(system, definition={k: repr(float(v)) for k, v in (figure or {}).items()})
     names, m, intervals, offsets, coords = [], np.zeros((2, 2)), {}, [], {}
     for k, role in enumerate(("longitude", "latitude")):
         name, sign = found[role]
@@ -405,9 +434,10 @@ def cf_grid(coordinates: Mapping[str, Mapping[str, Any]], *, frame: ReferenceFra
         if coordinates[name].get("bounds") is not None:
             b = np.sort(np.asarray(coordinates[name]["bounds"], float), axis=1)
             if role == "longitude":
-                outside = b[:, 1] - b[:, 0] > 180
+                turn = 2 * math.pi if coordinates[name].get("units") in _RADIANS else 360.0
+                outside = b[:, 1] - b[:, 0] > turn / 2
                 up = outside & (np.abs(b[:, 1] - v) < np.abs(v - b[:, 0]))
-                b = np.where(outside[:, None], np.where(up[:, None], np.stack([b[:, 1], b[:, 0] + 360], 1), np.stack([b[:, 1] - 360, b[:, 0]], 1)), b)
+                b = np.where(outside[:, None], np.where(up[:, None], np.stack([b[:, 1], b[:, 0] + turn], 1), np.stack([b[:, 1] - turn, b[:, 0]], 1)), b)
             share = (v - b[:, 0]) / (b[:, 1] - b[:, 0])
             if np.ptp(share) <= 1e-6:
                 offset, intervals[name] = float(np.clip(share.mean(), 0, 1)), b

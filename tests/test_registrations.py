@@ -113,3 +113,34 @@ def test_directions(spark):
     chart = SphericalToCartesian(ball, centred)
     assert enu.matches(chart) and enu.matches(chart.inverse()) and not enu.matches(None) and not EastNorthUp(centred).matches(chart)
     assert not enu.matches(GeodeticToCartesian)
+
+
+def test_cf_figures_and_units():
+    figure = headers.cf_figure
+    assert figure(None) is None and figure({"grid_mapping_name": "latitude_longitude"}) is None
+    assert figure({"grid_mapping_name": "latitude_longitude", "earth_radius": 6.0}) == {"semi_major_axis": 6.0, "inverse_flattening": 0.0}
+    assert figure({"grid_mapping_name": "latitude_longitude", "semi_major_axis": 10.0, "semi_minor_axis": 9.0})["inverse_flattening"] == 10
+    for bad in ({"grid_mapping_name": "mercator"}, {"longitude_of_prime_meridian": 2.3}, {"semi_major_axis": 9.0, "semi_minor_axis": 10.0}, {"semi_major_axis": -1.0},
+                {"semi_major_axis": 10.0, "semi_minor_axis": 9.0, "inverse_flattening": 300.0}):
+        with pytest.raises(ValueError):
+            figure({"grid_mapping_name": "latitude_longitude", **bad})
+    lat = {"values": [0.0, 0.1], "units": "radians", "standard_name": "latitude"}
+    lon = {"values": [0.0, 3.0], "units": "rad", "standard_name": "longitude", "bounds": [[-1.5, 1.5], [-1.8, 1.5]]}
+    g = headers.cf_grid({"lon": lon, "lat": lat}, figure={"semi_major_axis": 10.0, "inverse_flattening": 10.0})
+    assert g.frame.units == ("rad", "rad") and g.frame.coordinate_system.representation == "geodetic"
+    with pytest.raises(ValueError):
+        headers.cf_grid({"lon": lon, "lat": {**lat, "units": "K"}})
+
+
+def test_cf_tables(spark):
+    from framegrid.sources.cf_tables import cf_table
+
+    df = spark.createDataFrame([(t, x, y, t + 10.0 * x + y) for t in range(2) for x in (350.0, 0.0, 10.0) for y in (-1.0, 1.0)], "time long, lon double, lat float, value double")
+    cells = {"lon": {350.0: (345.0, 355.0), 0.0: (355.0, 5.0), 10.0: (5.0, 15.0)}}
+    attributes = {"lon": {"units": "degrees_east"}, "lat": {"units": "degrees_north"}}
+    out = cf_table(df, attributes, carried=("time",), bounds=cells, grid_mapping={"grid_mapping_name": "latitude_longitude", "earth_radius": 6371229.0})
+    assert out.grid.sizes == {"lat": 2, "lon": 3} and out.df.count() == 12 and out.grid.frame.coordinate_system.representation == "spherical"
+    np.testing.assert_allclose(out.grid.intervals["lon"], [[-5, 5], [5, 15], [345, 355]])
+    assert out.df.filter("pos_lon = 2 and lon <> 350 or pos_lat = 0 and lat <> -1").count() == 0
+    with pytest.raises(ValueError):
+        cf_table(df, attributes, bounds={"lon": {350.0: (345.0, 355.0)}})
