@@ -1,4 +1,5 @@
-"""Registered queries over pixel files, written from the price surface and read block by block, with their SQL."""
+"""Registered queries over pixel and transform files, relations and CF tables, with their SQL. Pixel files are
+written from the price surface and read block by block."""
 
 from __future__ import annotations
 
@@ -10,17 +11,22 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framegrid.format_queries import shared_path
+from framegrid.format_queries import FIXED, MOVING, _mapped, _xyz, shared_path
+from framegrid.functions.tensors import EastNorthUp
 from framegrid.functions.transforms import AffineTransform
 from framegrid.operators.framed import frame_table
 from framegrid.plans.anatomy import patient_coordinate_system
 from framegrid.plans.declare import ArrayCoordinates, ReferenceFrame
 from framegrid.plans.grid import Grid
-from framegrid.queries import FILL, PLANE, SURFACE_SQL, framed, surface
+from framegrid.queries import _PLACES_SQL, EARTH, FILL, PLANE, SURFACE_SQL, _places, framed, surface
 from framegrid.sources.blocks import write_whole
+from framegrid.sources.cf_tables import cf_table
 from framegrid.sources.dicom_files import read_dicom
+from framegrid.sources.headers import build_nifti_header
 from framegrid.sources.nifti_files import read_nifti, write_nifti
 from framegrid.sources.rasters import read_geotiff, read_ngff
+from framegrid.sources.registrations import registrations
+from framegrid.sources.transform_files import read_itk_transform
 
 #: The surface has 50 by 11 cells whatever the table's size.
 SHAPE = (50, 11)
@@ -158,7 +164,73 @@ CLAIMS_SQL = f"""with {SURFACE_SQL}, {_ALL_CELLS} select u.range as pos_u, v.ran
   round(0.75::double * a.value + 0.25::double * b.value, 4) as value from range(10) u cross join range(10) v
   join all_cells a on a.q = 49 - 5 * u.range and a.d = v.range join all_cells b on b.q = a.q and b.d = a.d + 1"""
 
+# Transform files of numbers and images, relations, CF tables --------------------------------------------------
+
+
+def itk_mat_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shear about a centre, from a MATLAB file."""
+    path, out = f"{shared_path(spark, 'mat')}/affine.mat", b""
+    for name, v in (("AffineTransform_double_3_3", [1, 0.5, 0, 0, 2, 0, 0, 0, 1, 3, -1, 0]), ("fixed", [0, 4, 0])):
+        out += struct.pack("<5i", 0, len(v), 1, 0, len(name) + 1) + name.encode() + b"\0" + struct.pack(f"<{len(v)}d", *v)
+    write_whole(path, out)
+    return _mapped(_xyz(spark, sf_dir), read_itk_transform(path, fixed=FIXED, moving=MOVING))
+
+
+MAT_SQL = """select l_orderkey, l_linenumber, round(l_quantity + 0.5 * (l_discount - 4) + 3, 6) as x, round(2 * (l_discount - 4) + 4 - 1, 6) as y, round(l_tax, 6) as z from lineitem"""
+
+
+def displacement_image_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image of displacements that grow along its first axis; points outside its cells stay."""
+    sizes = (5, 3, 2)
+    head = {"dim": [5, *sizes, 1, 3, 1, 1], "pixdim": [1.0, 8.0, 8.0, 8.0, 1, 1, 0, 0], "xyzt_units": 2, "sform_code": 1, "qform_code": 0,
+            "srow_x": [-8, 0, 0, 0], "srow_y": [0, -8, 0, 8], "srow_z": [0, 0, 8, -4]}
+    raw = bytearray(build_nifti_header(head))
+    raw[70:74], raw[108:120] = struct.pack("<2h", 64, 64), struct.pack("<3f", 352, 1, 0)
+    u = np.broadcast_to(np.arange(5.0), (3, 1, 2, 3, 5)) * np.array([1.0, 0.0, -2.0]).reshape(3, 1, 1, 1, 1)
+    path = f"{shared_path(spark, 'warp')}/warp.nii"
+    write_whole(path, bytes(raw) + b"\0" * 4 + u.astype("<f8").tobytes())
+    return _mapped(_xyz(spark, sf_dir), read_itk_transform(path, fixed=FIXED, moving=MOVING))
+
+
+WARP_IMAGE_SQL = """with p as (select *, case when l_quantity < 36 then least(greatest(l_quantity / 8, 0), 4) else 0 end as u from lineitem)
+select l_orderkey, l_linenumber, round(l_quantity + u, 6) as x, round(l_discount, 6) as y, round(l_tax - 2 * u, 6) as z from p"""
+
+
+def registration_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two matrices of one item: the last listed acts first."""
+    turn, shift = [0, -1, 0, 1, 1, 0, 0, 2, 0, 0, 1, 3, 0, 0, 0, 1], [2, 0, 0, 10, 0, 2, 0, 0, 0, 0, 2, 0, 0, 0, 0, 1]
+    parts = [{"FrameOfReferenceTransformationMatrix": m, "FrameOfReferenceTransformationMatrixType": k} for m, k in ((turn, "RIGID"), (shift, "RIGID_SCALE"))]
+    item = {"FrameOfReferenceUID": "1.1", "MatrixRegistrationSequence": [{"MatrixSequence": parts}]}
+    (t,) = registrations({"FrameOfReferenceUID": "1.2", "RegistrationSequence": [item]})
+    return _mapped(_xyz(spark, sf_dir).toDF("l_orderkey", "l_linenumber", *t.source.axes), t)
+
+
+REGISTRATION_SQL = """select l_orderkey, l_linenumber, round(-2 * l_discount + 1, 6) as x, round(2 * l_quantity + 10 + 2, 6) as y, round(2 * l_tax + 3, 6) as z from lineitem"""
+
+
+def enu_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """East and north at each place, as vectors in Earth-centred axes."""
+    rows = _places(spark, sf_dir)
+    m = EastNorthUp(EARTH).directions([F.col("lon"), F.col("lat"), F.col("h")])
+    return rows.select("l_orderkey", "l_linenumber", *[F.round(m[i][k], 6).alias(f"{n}_{a}") for k, n in enumerate(("east", "north")) for i, a in enumerate("xyz")])
+
+
+DIRECTIONS_SQL = f"""with {_PLACES_SQL} select l_orderkey, l_linenumber, round(-sin(radians(lon)), 6) as east_x, round(cos(radians(lon)), 6) as east_y, 0.0::double as east_z,
+  round(-sin(radians(lat)) * cos(radians(lon)), 6) as north_x, round(-sin(radians(lat)) * sin(radians(lon)), 6) as north_y, round(cos(radians(lat)), 6) as north_z from p"""
+
+
+def cf_table_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surface as a table of longitudes west and latitudes, framed by its own labels, points and all."""
+    rows = surface(spark, sf_dir).select((F.col("pos_q") * 2.0).alias("west"), (F.col("pos_d") - 5.0).alias("lat"), "value")
+    out = cf_table(rows, {"west": {"units": "degrees_west"}, "lat": {"units": "degrees_north"}}, grid_mapping={"grid_mapping_name": "latitude_longitude", "earth_radius": 6371229.0})
+    return out.frame_coordinates(prefix="at_").df.select("pos_west", "pos_lat", F.col("at_longitude").alias("longitude"), F.col("at_latitude").alias("latitude"), F.round("value", 4).alias("value"))
+
+
+CF_TABLE_SQL = f"""with {SURFACE_SQL} select dense_rank() over (order by pos_q) - 1 as pos_west, dense_rank() over (order by pos_d) - 1 as pos_lat, (-2 * pos_q)::double as longitude,
+  (pos_d - 5)::double as latitude, round(value, 4) as value from cells"""
+
 ALL = [
+    (itk_mat_map, MAT_SQL), (displacement_image_map, WARP_IMAGE_SQL), (registration_map, REGISTRATION_SQL), (enu_directions, DIRECTIONS_SQL), (cf_table_points, CF_TABLE_SQL),
     (geotiff_pixels, GEOTIFF_SQL), (ngff_pixels, NGFF_SQL), (dicom_pixels, DICOM_SQL), (nifti_voxels, NIFTI_SQL), (claimed_cells, CLAIMS_SQL),
 ]
 
