@@ -212,21 +212,26 @@ def enu_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """East and north at each place, as vectors in Earth-centred axes."""
     rows = _places(spark, sf_dir)
     m = EastNorthUp(EARTH).directions([F.col("lon"), F.col("lat"), F.col("h")])
-    return rows.select("l_orderkey", "l_linenumber", *[F.round(m[i][k], 6).alias(f"{n}_{a}") for k, n in enumerate(("east", "north")) for i, a in enumerate("xyz")])
+    whole = lambda c: F.when(F.abs(c) < 5e-7, 0.0).otherwise(F.round(c, 6))
+    return rows.select("l_orderkey", "l_linenumber", *[whole(m[i][k]).alias(f"{n}_{a}") for k, n in enumerate(("east", "north")) for i, a in enumerate("xyz")])
 
 
-DIRECTIONS_SQL = f"""with {_PLACES_SQL} select l_orderkey, l_linenumber, round(-sin(radians(lon)), 6) as east_x, round(cos(radians(lon)), 6) as east_y, 0.0::double as east_z,
-  round(-sin(radians(lat)) * cos(radians(lon)), 6) as north_x, round(-sin(radians(lat)) * sin(radians(lon)), 6) as north_y, round(cos(radians(lat)), 6) as north_z from p"""
+_DIRECTIONS = {
+    "east_x": "-sin(radians(lon))", "east_y": "cos(radians(lon))", "east_z": "0.0::double", "north_x": "-sin(radians(lat)) * cos(radians(lon))",
+    "north_y": "-sin(radians(lat)) * sin(radians(lon))", "north_z": "cos(radians(lat))",
+}
+DIRECTIONS_SQL = f"""with {_PLACES_SQL} select l_orderkey, l_linenumber,
+  {", ".join(f"case when abs({x}) < 5e-7 then 0.0::double else round({x}, 6) end as {n}" for n, x in _DIRECTIONS.items())} from p"""
 
 
 def cf_table_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surface as a table of longitudes west and latitudes, framed by its own labels, points and all."""
-    rows = surface(spark, sf_dir).select((F.col("pos_q") * 2.0).alias("west"), (F.col("pos_d") - 5.0).alias("lat"), "value")
+    rows = surface(spark, sf_dir).select((F.col("pos_q") * 2.0 + 1).alias("west"), (F.col("pos_d") - 5.0).alias("lat"), "value")
     out = cf_table(rows, {"west": {"units": "degrees_west"}, "lat": {"units": "degrees_north"}}, grid_mapping={"grid_mapping_name": "latitude_longitude", "earth_radius": 6371229.0})
     return out.frame_coordinates(prefix="at_").df.select("pos_west", "pos_lat", F.col("at_longitude").alias("longitude"), F.col("at_latitude").alias("latitude"), F.round("value", 4).alias("value"))
 
 
-CF_TABLE_SQL = f"""with {SURFACE_SQL} select dense_rank() over (order by pos_q) - 1 as pos_west, dense_rank() over (order by pos_d) - 1 as pos_lat, (-2 * pos_q)::double as longitude,
+CF_TABLE_SQL = f"""with {SURFACE_SQL} select dense_rank() over (order by pos_q) - 1 as pos_west, dense_rank() over (order by pos_d) - 1 as pos_lat, (-2 * pos_q - 1)::double as longitude,
   (pos_d - 5)::double as latitude, round(value, 4) as value from cells"""
 
 ALL = [
